@@ -1,0 +1,43 @@
+"""Connected components of an edge table by alternating star contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shapeloom.llm.common import written
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, component): the smallest node that each node of ``edges`` (two long columns) is connected with.
+
+    Each round lets every node's larger neighbours, then its smaller ones, point at its smallest neighbour, until
+    nothing changes; the number of rounds grows with the logarithm of the longest path. The edge table of a round is
+    written to the shared folder. Null ends, loops and repeated edges do no harm; a node with only loops is left out.
+    """
+    links = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    seen = None
+    while True:
+        both = _both(links)
+        # large star: every larger neighbour of u is linked with the smallest of u and its neighbours
+        least = _least(both).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: u and its smaller neighbours are linked with the smallest of them
+        least = _least(large)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == seen:
+            break
+        seen = mark
+    nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
