@@ -20,10 +20,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprint.with_fingerprint(fingerprint.edited(_table(spark, sf_dir, "documents")), "edited_text", "edited_fingerprint")
+    rows = fingerprint.compare_with_edits(_table(spark, sf_dir, "documents"))
+    own, edited, following = (F.col(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
     return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        fingerprint.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), fingerprint.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(own).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"), fingerprint.likeness(own, following).alias("near_next"),
     )
 
 
