@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat_format, decontaminate, fingerprint, jaccard_join, lm_score, substring_dedup
+import public_tokenizers
+
+from shapeloom.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, lm_score, packing, pii, quality, substring_dedup
+
+#: The tokenizer's file, and the key of the pseudonyms, which an owner of real data replaces by a secret.
+TOKENIZER, PII_KEY = public_tokenizers.path("byte_bpe_50k.json"), b"shapeloom example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +33,28 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"), 5, 0)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, 2048)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
     return found.select(
@@ -48,4 +70,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(_table(spark, sf_dir, "documents"), 7, 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_fingerprint, op4_substring_dedup, op8_decontaminate, op9_jaccard_join, op10_lm_score)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_format, op2_fingerprint, op3_quality, op4_substring_dedup, op5_language_id, op6_packing, op7_pii, op8_decontaminate, op9_jaccard_join, op10_lm_score)
+}
