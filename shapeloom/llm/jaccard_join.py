@@ -92,16 +92,18 @@ def _signatures(shingle: int, num: int, den: int, buckets: int, batches):
                     continue  # nothing but an equal set can be linked
                 c = int(np.searchsorted(bounds, len(tokens), "right")) - 1
                 for k in {c, max(c - 1, 0)}:
+                    # the lowest bit: the set is of the smaller class of this scheme. Pairs without such a set meet in the next scheme
                     own = _part_signatures(tokens, k, parts_of(bounds, k, num, den))
-                    sigs.append(own)
+                    sigs.append(own & ~_U(1) | _U(k == c))
                     docs.append(np.full(len(own), i, np.int64))
             if not sigs:
                 continue
             sig, doc = np.concatenate(sigs), np.concatenate(docs)
             bucket = bucket_of(sig, buckets)
-            order = np.lexsort((doc, sig, bucket))
+            order = np.lexsort((doc, sig >> _U(1), bucket))
             bucket, sig, doc = bucket[order], sig[order], doc[order]
-            begin, size = K.groups_of(sig)
+            begin, size = K.groups_of(sig >> _U(1))
+            sig = sig & ~_U(1) | np.repeat(np.bitwise_or.reduceat(sig & _U(1), begin), size)
             pivot = np.repeat(doc[begin], size)
             pairs = np.unique(np.stack([doc, pivot])[:, doc != pivot], axis=1)
             bucket, sig, doc = bucket[begin], sig[begin], doc[begin]
@@ -118,10 +120,11 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         pairs = np.stack([doc, sig.view(np.int64)])
     else:
-        order = np.lexsort((doc, sig))
+        order = np.lexsort((doc, sig >> _U(1)))
         sig, doc = sig[order], doc[order]
-        begin, size = K.groups_of(sig)
-        pairs = np.stack([doc, np.repeat(doc[begin], size)])
+        begin, size = K.groups_of(sig >> _U(1))
+        needed = np.repeat(np.bitwise_or.reduceat(sig & _U(1), begin), size) > 0
+        pairs = np.stack([doc, np.repeat(doc[begin], size)])[:, needed]
     pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
     return pa.table({"doc": pa.array(pairs[0]), "pivot": pa.array(pairs[1])})
 
