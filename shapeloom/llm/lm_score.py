@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,15 @@ def _unplaned(data: bytes) -> np.ndarray:
     return out.view(_U).ravel()
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts, most of them small, as compressed bytes: all low bytes first."""
+    return zstandard.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _ask(buckets: int):
     def run(batches):
         for batch in batches:
@@ -84,7 +94,7 @@ def _ask(buckets: int):
                     low = asked & _U((1 << 48) - 1)
                     for b, s in by_bucket(bucket, buckets):
                         order = np.argsort(low[s], kind="stable")
-                        rows.append((b, chunk.chunk, kind, _planes(low[s][order]), counts[s][order].astype(np.uint32).tobytes()))
+                        rows.append((b, chunk.chunk, kind, _planes(low[s][order]), _small(counts[s][order])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "kind", "asked", "counts"]
                 )
@@ -101,7 +111,7 @@ def _answer(table: pa.Table) -> pa.Table:
         mine = np.flatnonzero(kind == k).tolist()
         asked = [_unplaned(table.column("asked")[i].as_py()) for i in mine]
         hashes = np.concatenate(asked)
-        counts = np.concatenate([np.frombuffer(table.column("counts")[i].as_py(), np.uint32) for i in mine]).astype(np.int64)
+        counts = np.concatenate([_large(table.column("counts")[i].as_py()) for i in mine]).astype(np.int64)
         order = np.argsort(hashes, kind="stable")
         begin, size = K.groups_of(hashes[order])
         total = np.add.reduceat(counts[order], begin)
@@ -109,7 +119,7 @@ def _answer(table: pa.Table) -> pa.Table:
         back[order] = np.repeat(total, size)
         at = 0
         for i, own in zip(mine, asked, strict=True):
-            rows.append((chunk[i], bucket, k, back[at : at + len(own)].astype(np.uint32).tobytes(), 0, 0))
+            rows.append((chunk[i], bucket, k, _small(back[at : at + len(own)]), 0, 0))
             at += len(own)
         if k == 1:
             rows.append((-1, bucket, 0, b"", int(total.sum()), int((total > 0).sum())))
@@ -126,7 +136,7 @@ def _counted(chunk: Chunk, answers: pa.Table, buckets: int):
         asked, bucket, rank, _ = _questions(hashes, np.zeros(len(hashes), bool), buckets)
         low, total = asked & _U((1 << 48) - 1), np.empty(len(asked), np.int64)
         for b, s in by_bucket(bucket, buckets):
-            total[np.arange(s.start, s.stop)[np.argsort(low[s], kind="stable")]] = np.frombuffer(said[kind, b], np.uint32)
+            total[np.arange(s.start, s.stop)[np.argsort(low[s], kind="stable")]] = _large(said[kind, b])
         counted.append(total[rank])
     word, both = counted
     before = np.empty_like(word)
