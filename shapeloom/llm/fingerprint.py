@@ -105,7 +105,7 @@ def in_line(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id",
     range before as well (column ``lent``). Rows that repeat an id stand in the order of their texts, rows without an
     id come last. Returns k (the range), rn (the place in it), lent, doc_id, text, next_text.
     """
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], 10000).alias("q")).first().q or []
@@ -122,6 +122,8 @@ def in_line(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id",
         is_top = F.col("doc_id").isNull() | (F.col("doc_id") == tops[F.col("k")])
         seats = F.when(is_top, F.array(seat(F.col("k"), False), seat(before[F.col("k")], True))).otherwise(seats)
     seated = rows.select("doc_id", "text", F.explode(seats).alias("seat")).select(F.col("seat.k").alias("k"), F.col("seat.lent").alias("lent"), "doc_id", "text")
+    # so many partitions, whatever their size: a text becomes many rows of shingles, which are to stay in memory
+    seated = seated.repartition(buckets, "k")
     line = Window.partitionBy("k").orderBy("lent", F.col("doc_id").desc_nulls_last(), "text")
     return seated.select("k", F.row_number().over(line).alias("rn"), "lent", "doc_id", "text", F.lead("text").over(line).alias("next_text"))
 
