@@ -16,7 +16,7 @@ from shapeloom.llm import kernels as K
 from shapeloom.llm.common import id_and_text
 
 #: Documents that the scorer is fitted on at most, hashed features, and the seed of the sample's order.
-SAMPLE, FEATURES = 4000, 1 << 14
+SAMPLE, FEATURES = 1500, 1 << 14
 # Frequent words of English, German, French and Spanish, and insults.
 STOP_WORDS = (
     "the of and to in is it that for on with as was by be this are from or an at not "
