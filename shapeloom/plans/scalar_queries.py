@@ -20,10 +20,10 @@ def pairs(spark, d):
     return a.join(b, "id")
 
 
-@query(_P + " select id, 2 * 63710088e-1 * asin(sqrt(pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2))) as m from p")
+@query(_P + " select id, cast(floor(1e6 * 2 * 63710088e-1 * asin(sqrt(pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2))) + 5e-1) as bigint) as micro from p")
 def s1_haversine(spark, d):
     """Great-circle distance."""
-    return pairs(spark, d).select("id", geo.haversine("lat1", "lon1", "lat2", "lon2").alias("m"))
+    return pairs(spark, d).select("id", F.floor(geo.haversine("lat1", "lon1", "lat2", "lon2") * 1e6 + 0.5).cast("long").alias("micro"))
 
 
 @query(_P + " select id, cast(floor(radians(lon2 - lon1) * 63710088e-1 * cos(radians(lat1)) * 1e3 + 5e-1) as bigint) as east_mm, cast(floor(radians(lat2 - lat1) * 63710088e-1 * 1e3 + 5e-1) as bigint) as north_mm from p")
