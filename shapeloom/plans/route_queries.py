@@ -14,7 +14,10 @@ from shapeloom.plans.fixtures import GREEN, SAFETY, sql, view
 STEPS = "with s as (" + sql("steps") + ")"
 _SAFE = "case hw " + " ".join(f"when '{c}' then {int(v * 100)}e-2" for c, v in SAFETY.items()) + " else 5e-1 end"
 _GREEN = "hw in (" + ", ".join(f"'{c}'" for c in GREEN) + ")"
-LINE = Window.partitionBy("route").orderBy("i")
+def along():
+    """A route's steps in order."""
+    return Window.partitionBy("route").orderBy("i")
+
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
@@ -77,19 +80,19 @@ def a2_a3_a4_a5_a6_route_sums(spark, d):
 @query(STEPS + " select route, i, node, next from (select route, i, node, lead(node) over (partition by route order by i) as next from s) x where next is not null")
 def w1_consecutive_pairs(spark, d):
     """Node pairs of consecutive steps."""
-    return steps(spark, d).withColumn("next", F.lead("node").over(LINE)).where("next is not null").select("route", "i", "node", "next")
+    return steps(spark, d).withColumn("next", F.lead("node").over(along())).where("next is not null").select("route", "i", "node", "next")
 
 
 @query(STEPS + " select route, i, coalesce(sum(length) over (partition by route order by i rows between unbounded preceding and 1 preceding), 0) as before_m from s")
 def w2_cumulative_mileage(spark, d):
     """Metres before each step."""
-    return steps(spark, d).select("route", "i", F.coalesce(F.sum("length").over(LINE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before_m"))
+    return steps(spark, d).select("route", "i", F.coalesce(F.sum("length").over(along().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before_m"))
 
 
 @query(STEPS + " select route, i, name from (select *, lag(name) over (partition by route order by i) as p from s) x where p is null or p <> name")
 def w3_consecutive_duplicates(spark, d):
     """Steps whose road differs from the one before."""
-    return steps(spark, d).withColumn("p", F.lag("name").over(LINE)).where("p is null or p <> name").select("route", "i", "name")
+    return steps(spark, d).withColumn("p", F.lag("name").over(along())).where("p is null or p <> name").select("route", "i", "name")
 
 
 @query(
@@ -125,8 +128,8 @@ def w5_cue_sheet(spark, d):
 )
 def w7_unlit_runs(spark, d):
     """Unlit runs of 120 metres and more."""
-    before = F.coalesce(F.sum("length").over(LINE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    isle = F.row_number().over(LINE) - F.row_number().over(Window.partitionBy("route", "lit").orderBy("i"))
+    before = F.coalesce(F.sum("length").over(along().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    isle = F.row_number().over(along()) - F.row_number().over(Window.partitionBy("route", "lit").orderBy("i"))
     runs = steps(spark, d).withColumn("before_m", before).withColumn("isle", isle).where("lit = 'no'")
     return runs.groupBy("route", "isle").agg(F.min("before_m").alias("from_m"), F.sum("length").alias("dark_m")).where("dark_m >= 120").drop("isle")
 
@@ -138,7 +141,7 @@ _NOTES = (
 
 
 def notes(s: DataFrame) -> DataFrame:
-    before = F.coalesce(F.sum("length").over(LINE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("length").over(along().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     m = s.withColumn("km", before / 1000)
     dark = m.where("lit = 'no'").select("route", "km", F.lit(0).alias("src"), "i", F.lit("dark").alias("type"))
     main = m.where("hw in ('primary', 'secondary') and length >= 200").select("route", "km", F.lit(1).alias("src"), "i", F.lit("main").alias("type"))
