@@ -2,42 +2,72 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.llm.common import written
 
+#: Edges that a task contracts at once; a bound of its memory.
+SLICE = 1 << 20
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """The components of these edges as stars: every node with the smallest of its component."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+    inner = label != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[label[inner]])], names=["u", "v"])
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+def _contract(batches):
+    """Edges of a task as stars, in slices of a bounded number of edges. What is connected stays connected."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= SLICE:
+            table = pa.Table.from_batches(held)
+            yield _stars(table.column("u").to_numpy(), table.column("v").to_numpy())
+            held, n = [], 0
+    if n:
+        table = pa.Table.from_batches(held)
+        yield _stars(table.column("u").to_numpy(), table.column("v").to_numpy())
+
+
+def _is_stars(links: DataFrame) -> bool:
+    """Whether every node points at one node only and nothing points at a node that points elsewhere."""
+    ends = links.select(F.col("u").alias("node"), "v").unionAll(links.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v")))
+    seen = ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("centre"))
+    return seen.where("low <> high or (centre and low is not null)").isEmpty()
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (two long columns) is connected with.
 
-    Each round lets every node's larger neighbours, then its smaller ones, point at its smallest neighbour, until
-    nothing changes; the number of rounds grows with the logarithm of the longest path. The edge table of a round is
-    written to the shared folder. Null ends, loops and repeated edges do no harm; a node with only loops is left out.
+    Each task first contracts the edges that it reads; then every node's larger neighbours, and after them its smaller
+    ones, point at its smallest neighbour, until all components are stars; the number of rounds grows with the
+    logarithm of the longest path. The edge table of a round is written to the shared folder. Null ends, loops and
+    repeated edges do no harm; a node with only loops is left out.
     """
     links = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
     while True:
-        both = _both(links)
+        links = written(links.mapInArrow(_contract, "u long, v long"), "links")
+        if _is_stars(links):
+            break
         # large star: every larger neighbour of u is linked with the smallest of u and its neighbours
-        least = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: u and its smaller neighbours are linked with the smallest of them
-        least = _least(large)
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == seen:
-            break
-        seen = mark
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        links = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return nodes.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
