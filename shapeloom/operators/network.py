@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapeloom.functions.geo import haversine
@@ -17,18 +17,22 @@ GREENWAY_HINTS = ("園道", "綠道", "步道", "自行車道", "河濱", "堤
 METRES = 111319.49
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="shapeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def base_safety(hw: Column) -> Column:
@@ -127,3 +131,21 @@ def shortest_costs(edges: DataFrame, source: int) -> DataFrame:
             return best
         best = staged(best.join(better, "node", "left_anti").unionByName(better), "best")
         front = better
+
+
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
+    """(node, cost, path): the nodes of a cheapest path from a source to every node that it reaches, both included.
+
+    Costs must be above 0. Each node's predecessor is the neighbour whose cost leads to its own, of equal ones the
+    smallest; paths grow by doubling, so the rounds are the logarithm of the longest path.
+    """
+    cost = staged(shortest_costs(edges, source), "costs")
+    arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("cost").alias("c")).unionAll(edges.select("b", "a", "cost"))
+    reached = arcs.join(cost.select(F.col("node").alias("u"), F.col("cost").alias("have")), "u").where(F.col("v") != source)
+    before = reached.groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("have") + F.col("c")).alias("sum"), "u")).alias("m"))
+    walk = staged(cost.join(before, "node", "left").select("node", "cost", F.array("node").alias("path"), F.col("m.u").alias("head")), "walk")
+    while not walk.where("head is not null").isEmpty():
+        ahead = walk.select(F.col("node").alias("head"), F.col("path").alias("front"), F.col("head").alias("next"))
+        longer = walk.join(ahead, "head", "left").select("node", "cost", F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path"), F.col("next").alias("head"))
+        walk = staged(longer, "walk")
+    return walk.select("node", "cost", "path")

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from shapeloom.plans import graph_queries, library_queries, route_queries, scalar_queries, search_queries  # noqa: F401
+    from shapeloom.plans import graph_queries, library_queries, route_queries, scalar_queries, search_queries, sink_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

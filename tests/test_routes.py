@@ -65,3 +65,46 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 100 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_shape_files(spark, tmp_path):
+    from shapeloom.sources.shapes import broken_shapes, read_shapes
+
+    for name, text in (
+        ("a", '{"key": "k", "name": "old", "pts": [[0, 0], [1, 0]]}'), ("b", '{"key": "k", "name": "new", "pts": [[0, 0], [1, 0]], "aspect": 2.0, "fits": ["x"]}'),
+        ("c", "{broken"), ("d", '{"key": "q", "name": "q"}'), ("e", '{"key": "z", "name": "z", "pts": [[0, 0], [1, 1], [0, 0]]}'),
+    ):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.key: r for r in read_shapes(spark, str(tmp_path), ("any",)).collect()}
+    assert set(got) == {"k", "z"} and got["k"].name == "new" and len(got["k"].pts) == 3 and got["k"].fits == ["x"]
+    assert len(got["z"].pts) == 3 and got["z"].fits == ["any"] and got["z"].aspect == 1.0
+    assert sorted(r.file for r in broken_shapes(spark, str(tmp_path)).collect()) == ["c.json", "d.json"]
+
+
+def test_paths(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)] + [(0, 9, 20.0), (3, 7, 2.0), (50, 51, 1.0)], "a long, b long, cost double")
+    got = {r.node: r.path for r in network.shortest_paths(e, 0).collect()}
+    assert got[9] == [0, 1, 2, 3, 7, 8, 9] and got[0] == [0] and got[6] in ([0, 1, 2, 3, 7, 6], [0, 1, 2, 3, 4, 5, 6]) and len(got) == 10
+
+
+def test_fit_band(spark):
+    from shapeloom.operators.search import fit_band
+
+    routes = spark.createDataFrame([(1, 1000.0, 8.0, 12.0), (2, 1000.0, 90.0, 99.0)], "key int, size double, lo_km double, hi_km double")
+    measure = lambda c: c.withColumn("km", F.when(F.col("size") > 350, F.col("size") / 100))
+    got = {r.key: r for r in fit_band(routes, measure, lambda c: measure(c).withColumn("score", F.col("size")), 8).collect()}
+    assert got[1].fitted and 11.5 < got[1].km <= 12 and not got[2].fitted and got[2].size == 1000.0
+
+
+def test_report(spark):
+    from shapeloom.operators.report import NO_MARKS, markdown_report
+
+    part = "array<struct<label:string,weight:int,score:double,detail:array<struct<name:string,value:string>>>>"
+    routes = spark.createDataFrame([(1, "T", "cat", "d", "10K", 9.5, 24.0, 120.0, 71.25, [("fit", 30, 80.0, [("a", "1"), ("b", "2")])])], f"route int, title string, shape string, district string, level string, km double, lat double, lon double, total double, parts {part}")
+    cues = spark.createDataFrame([(1, 2, 1.0, "左轉", "B", 40), (1, 1, 0.0, "出發", "A", 1000)], "route int, seq int, km double, action string, road string, len_m int")
+    notes = spark.createDataFrame([(1, 1, 0.5, "夜間照明", "dark")], "route int, ord int, km double, type string, text string")
+    marks = spark.createDataFrame([], "route int, ord int, km double, name string, kind string, dist_m int")
+    text = markdown_report(routes, cues, notes, marks).first().report
+    lines = text.split("\n")
+    assert lines[0] == "# T" and "| fit | 30% | 80.0 |" in lines and "a：1 ／ b：2" in lines and NO_MARKS in lines
+    assert lines.index("| 1 | 0.00 | 出發 | A | 1000 m |") + 1 == lines.index("| 2 | 1.00 | 左轉 | B | 40 m |") and "| 0.50 | 夜間照明 | dark |" in lines
