@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those without a letter go. The predicted language fills in for a missing one."""
+    """Documents of a known language; those without a letter go. The predicted language fills in for a missing one.
+
+    A row without an id goes too: no later decision could name it. Rows that repeat an id are judged together.
+    """
     found = identify(docs).where("lang_pred <> 'und'").select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
     kept = docs.join(found, "doc_id")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -36,10 +39,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
-    clean = pseudonymise(docs, PII_KEY).select("doc_id", F.col("text").alias("clean"))
-    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    return rest.join(clean, "doc_id").select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
+    """All documents, with pseudonyms for personal data. Null ids, null texts and repeated rows stay as they are."""
+    clean = pseudonymise(docs, PII_KEY, keep=("lang", "source"))
+    return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from shapeloom.llm.common import id_and_text
+from pyspark.sql.types import StructType
 
 ROUNDS = 8
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -168,18 +167,22 @@ def _run(key: bytes):
     def run(batches):
         for batch in batches:
             made = [(None, []) if t is None else replace(key, t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], span)], names=["doc_id", "text", "found"])
+            own = [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], span)]
+            yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=["doc_id", "text", "found", *batch.schema.names[2:]])
 
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text with pseudonyms, found (array of kind, start, end in the given text) of every whole text.
 
+    The columns named in ``keep`` are passed on as they are, so that no join has to bring them back.
+
     Found: e-mail addresses, dates, IPv4 addresses, IBANs, hexadecimal secrets of 32 digits or more, phone numbers with
     a country code, card and account numbers of 13 to 19 digits, and social security numbers. ``key`` must stay
     secret and the same for texts that are to stay linked; it has at most 64 bytes. A null text stays null; an empty
     one has nothing; null ids and repeated rows pass through. Other columns are not read. No rows give no rows.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(_run(key), "doc_id long, text string, found array<struct<kind:string,start:long,end:long>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    schema = StructType.fromDDL("doc_id long, text string, found array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(_run(key), StructType([*schema.fields, *(rows.schema[c] for c in keep)]))
