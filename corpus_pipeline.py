@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates (five words, a similarity of 0.8): the one with the smallest id."""
     first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
 

@@ -205,7 +205,7 @@ def _links(docs: DataFrame, seats: DataFrame, shingle: int, num: int, den: int,
     return seated.groupBy("cluster", "cls", "blk").applyInArrow(opened, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the graph that links two documents when den * |A & B| >= num * |A | B|.
 
     A and B are the documents' sets of distinct ``shingle``-word shingles, A-Z lower-cased; a text with fewer words
