@@ -24,23 +24,27 @@ from shapeloom.llm.common import id_and_text, written
 #: Tokens of a sequence; pieces of a partition, about; and by how much fewer groups exchange in each round.
 LENGTH, PER_GROUP, FEWER = 2048, 20_000, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, bool], object] = {}
 
 
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """The tokenizer of a file as a function of one text. Kept for each Python worker.
 
+    With ``added``, the file's added tokens are found in a text, as tokenizers does by default; without, they are text
+    like any other. A text that holds none has the same ids either way.
+
     The byte-level BPE is run by tiktoken from the same vocabulary's ranks, where the file has a sister ``.tiktoken``:
     the ids are those of tokenizers (a test holds them against each other) at six times its speed. A text that
     tiktoken's pattern engine gives up on is encoded by tokenizers.
     """
-    if path not in _loaded:
+    if (path, added) not in _loaded:
         from pathlib import Path
 
         from tokenizers import Tokenizer
 
         plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
+        plain.encode_special_tokens = not added
+        names = tuple(t.content for t in plain.get_added_tokens_decoder().values()) if added else ()
         slow = lambda text: plain.encode(text, add_special_tokens=False).ids
         sister = Path(path).with_suffix(".tiktoken")
         if sister.exists():
@@ -51,20 +55,22 @@ def encoder(path: str):
             fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
             def encode(text: str) -> list[int]:
+                if any(name in text for name in names):
+                    return slow(text)
                 try:
                     return fast(text)
                 except (ValueError, RuntimeError):
                     return slow(text)
 
-            _loaded[path] = encode
+            _loaded[path, added] = encode
         else:
-            _loaded[path] = slow
-    return _loaded[path]
+            _loaded[path, added] = slow
+    return _loaded[path, added]
 
 
 def _cut(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -139,7 +145,7 @@ def _pack(capacity: int, again: bool):
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, per_group: int = PER_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack the tokens of every whole text into sequences of at most ``length`` tokens.
 
-    A document is its ids by the tokenizer file ``tokenizer``, then ``end``. Only a longer one is cut, into pieces of
+    A document is its ids by the tokenizer file ``tokenizer``, its added tokens included, then ``end``. Only a longer one is cut, into pieces of
     ``length``; the first piece may be shorter. Returns one row for each piece: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset. A null text is an empty one: a piece of one token. Null ids pass through; repeated
     rows are documents of their own. Other columns are not read. No rows give no rows.
