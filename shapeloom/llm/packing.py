@@ -2,14 +2,17 @@
 
 Documents become token ids; what is longer than a sequence is cut. Pieces are dealt into partitions, each packed by
 best-fit decreasing. Dual feasible functions give a lower bound of every partition's bins. A partition that meets its
-bound is certified and keeps its bins. From the others, bins that are not full are opened again: their pieces move to
-fewer, larger groups and are packed anew, until all is certified or one group is left.
+bound is certified and keeps its bins but for a few of the least filled, which are handed on. From the others, all bins
+that are not full are opened again. Open pieces are dealt anew into as many groups as their number asks for, so a
+group's size stays bounded, until the bound over all pieces is met, one group holds them, or a round gains (next to)
+nothing; then the better of the last two packings stays and the gap to the bound is logged.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from shapeloom.llm.common import id_and_text, written
 
-#: Tokens of a sequence; pieces of a partition, about; and by how much fewer groups exchange in each round.
-LENGTH, PER_GROUP, FEWER = 2048, 20_000, 8
+#: Tokens of a sequence; pieces of a group, about; and bins that a certified group hands on.
+LENGTH, PER_GROUP, HANDED = 2048, 20_000, 8
+#: A round that saves fewer than one in so many of the bins that it opened is the last one.
+LEAST_GAIN = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[tuple[str, bool], object] = {}
 
@@ -86,7 +91,12 @@ def _cut(path: str, length: int, end: int):
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """No packing has fewer bins: the best of dual feasible functions over the counts of each length."""
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1))
+
+
+def bound_of_counts(count: np.ndarray) -> int:
+    """The lower bound from the number of pieces of each length from 0 to the capacity."""
+    capacity = len(count) - 1
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     # above capacity - k: a bin of its own; below k: nothing; between: its length
@@ -129,15 +139,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, places, np.array(room, np.int64)
 
 
-def _pack(capacity: int, again: bool):
+def _pack(capacity: int):
     """Pack one group. open: whether a piece's bin is given to the next exchange."""
 
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "doc_id", "piece", "ids_crc32", "start"], ascending=[False, True, True, True, True], kind="stable")
         lengths = pieces["length"].to_numpy(np.int64)
         bins, places, room = best_fit(lengths, capacity)
-        gap = len(room) > lower_bound(lengths, capacity) or again and len(room) * capacity - int(lengths.sum()) > 0
-        return pieces.assign(bin=bins, offset=places, open=(room[bins] > 0) & gap)
+        handed = room > 0
+        if len(room) <= lower_bound(lengths, capacity):
+            handed[np.argsort(-room, kind="stable")[HANDED:]] = False
+        return pieces.assign(bin=bins, offset=places, open=handed[bins])
 
     return run
 
@@ -145,33 +157,44 @@ def _pack(capacity: int, again: bool):
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, per_group: int = PER_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack the tokens of every whole text into sequences of at most ``length`` tokens.
 
-    A document is its ids by the tokenizer file ``tokenizer``, its added tokens included, then ``end``. Only a longer one is cut, into pieces of
-    ``length``; the first piece may be shorter. Returns one row for each piece: doc_id, piece, start, length,
-    ids_crc32, sequence_id, offset. A null text is an empty one: a piece of one token. Null ids pass through; repeated
-    rows are documents of their own. Other columns are not read. No rows give no rows.
+    A document is its ids by the tokenizer file ``tokenizer``, its added tokens included, then ``end``. Only a longer
+    one is cut, into pieces of ``length``; the first piece may be shorter. Returns one row for each piece: doc_id,
+    piece, start, length, ids_crc32, sequence_id, offset. A null text is an empty one: a piece of one token. Null ids
+    pass through; repeated rows are documents of their own. Other columns are not read. No rows give no rows. The
+    number of sequences and the lower bound over all pieces are logged.
     """
     pieces = written(id_and_text(docs, id_col, text_col).mapInArrow(_cut(tokenizer, length, end), PIECES), "pieces")
     columns = [f.name for f in pieces.schema]
     alone = pieces.where(F.col("length") == length)
     rest = pieces.where(F.col("length") < length)
-    groups, done, turn = -(-rest.count() // per_group) or 1, [], 0
+    # one row for each length that occurs
+    counts = np.zeros(length + 1, np.int64)
+    for n, k in pieces.groupBy("length").count().collect():
+        counts[n] = k
+    bound, total = bound_of_counts(counts), int(counts[length])
     named = F.concat_ws("-", F.lit("alone"), "doc_id", "piece")
-    done.append(alone.select(*columns, F.xxhash64(named, F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-    while True:
-        last = groups == 1
+    done = [alone.select(*columns, F.xxhash64(named, F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    left, held, held_bins, turn = int(counts[:length].sum()), None, 0, 0
+    while left:
+        groups = -(-left // per_group)
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).cast("int")
-        packed = rest.select(*columns).withColumn("group", key).groupBy("group").applyInPandas(_pack(length, not last), f"{PIECES}, group int, bin long, offset long, open boolean")
-        packed = written(packed, "packed")
-        sealed = packed if last else packed.where(~F.col("open"))
+        packed = rest.select(*columns).withColumn("group", key).groupBy("group").applyInPandas(_pack(length), f"{PIECES}, group int, bin long, offset long, open boolean")
         # rounds, groups and bins are numbered apart: no two sequences share a number
-        done.append(sealed.select(*columns, ((F.lit(turn + 1).cast("long") * 4_000_000 + F.col("group")) * 100_000_000 + F.col("bin")).alias("sequence_id"), "offset"))
-        if last:
-            break
-        rest, turn = packed.where("open"), turn + 1
-        left = rest.count()
-        if not left:
+        number = (F.lit(turn + 1).cast("long") * 4_000_000 + F.col("group")) * 100_000_000 + F.col("bin")
+        packed = written(packed.select(*columns, number.alias("sequence_id"), "offset", "open"), "packed")
+        found = {r["open"]: (r.bins, r.n) for r in packed.groupBy("open").agg(F.count_distinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()}
+        (shut, _), (ajar, left) = found.get(False, (0, 0)), found.get(True, (0, 0))
+        better = held is None or shut + ajar < held_bins
+        gain = held_bins - shut - ajar
+        if groups == 1 or total + shut + ajar <= bound or held is not None and gain <= held_bins // LEAST_GAIN:
+            done.append((packed if better else held).select(*columns, "sequence_id", "offset"))
+            total += shut + ajar if better else held_bins
             break
-        groups = max(1, min(-(-groups // FEWER), -(-left // per_group)))
+        done.append(packed.where(~F.col("open")).select(*columns, "sequence_id", "offset"))
+        total += shut
+        held = rest = packed.where("open")
+        held_bins, turn = ajar, turn + 1
+    logging.getLogger(__name__).info("%d sequences, lower bound %d, gap %d", total, bound, total - bound)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
