@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ EXCLUDED = ("motorway", "motorway_link", "trunk", "trunk_link", "construction",
 GREENWAY_HINTS = ("園道", "綠道", "步道", "自行車道", "河濱", "堤防", "草悟道", "美術園道", "柳川", "綠川", "筏子溪", "旱溪")
 #: Metres of a degree in the plane of the spatial index.
 METRES = 111319.49
+#: Edges of a cell in which one task relaxes costs.
+PER_CELL = 50_000
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -117,20 +121,65 @@ def nearest(points: DataFrame, key: str, nodes: DataFrame, reach: float) -> Data
     return near.groupBy(key).agg(F.min(F.struct("d", "node")).alias("m")).select(key, "m.node", "m.d")
 
 
-def shortest_costs(edges: DataFrame, source: int) -> DataFrame:
-    """(node, cost): least cost from a source over undirected edges (a, b, cost), by relaxation until nothing improves."""
+def _cell_of(cells: int):
+    """The cell of a node: ranges of ids, which are near each other on the map more often than not."""
+    return lambda c: F.when(F.col("high") > F.col("low"), F.floor((F.col(c) - F.col("low")).cast("double") * cells / (F.col("high") - F.col("low") + 1))).otherwise(0).cast("int")
+
+
+def _relaxed(arcs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one cell that its improved nodes (``fresh``) make cheaper over arcs inside the cell, themselves included."""
+    ahead: dict[int, list[tuple[int, float]]] = {}
+    for u, v, c in zip(arcs["u"].tolist(), arcs["v"].tolist(), arcs["cost"].tolist(), strict=True):
+        ahead.setdefault(u, []).append((v, c))
+    fresh = known[known["fresh"]]
+    old = known[~known["fresh"]]
+    best = dict(zip(old["node"].tolist(), old["cost"].tolist(), strict=True))
+    heap, found = [], {}
+    for u, c in zip(fresh["node"].tolist(), fresh["cost"].tolist(), strict=True):
+        best[u] = found[u] = c
+        heap.append((c, u))
+    heapq.heapify(heap)
+    while heap:
+        c, u = heapq.heappop(heap)
+        if c > best[u]:
+            continue
+        for v, more in ahead.get(u, ()):
+            if v not in best or c + more < best[v]:
+                best[v] = found[v] = c + more
+                heapq.heappush(heap, (c + more, v))
+    cell = known["cell"].iloc[0] if len(known) else 0
+    return pd.DataFrame({"node": pd.Series(list(found), dtype="int64"), "cell": pd.Series([cell] * len(found), dtype="int32"), "cost": pd.Series(list(found.values()), dtype="float64")})
+
+
+def shortest_costs(edges: DataFrame, source: int, per_cell: int = PER_CELL) -> DataFrame:
+    """(node, cost): least cost from a source over undirected edges (a, b, cost), by relaxation until nothing improves.
+
+    Nodes fall into cells of about ``per_cell`` edges. In a round every cell with an improved node is relaxed to its
+    fixed point in one task; then only arcs between cells carry costs on. Rounds are the borders that a cheapest path
+    crosses, not its edges. Costs must not be below 0.
+    """
     spark = edges.sparkSession
-    arcs = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "cost").unionAll(edges.select("b", "a", "cost")), "arcs")
-    best = spark.createDataFrame([(source, 0.0)], "node long, cost double")
-    front = best
+    ends = edges.agg(F.least(F.min("a"), F.min("b"), F.lit(source)).alias("low"), F.greatest(F.max("a"), F.max("b"), F.lit(source)).alias("high"), F.count("*").alias("n")).first()
+    cell = _cell_of(-(-ends.n // per_cell) or 1)
+
+    def placed(df, *pairs):
+        df = df.withColumn("low", F.lit(ends.low)).withColumn("high", F.lit(ends.high))
+        return df.select(*df.columns[:-2], *(cell(c).alias(name) for c, name in pairs))
+
+    arcs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"), F.col("cost").cast("double").alias("cost"))
+    arcs = staged(placed(arcs.unionAll(arcs.select(F.col("v"), F.col("u"), "cost")), ("u", "cell"), ("v", "other")), "arcs")
+    inner, cross = arcs.where("cell = other").select("cell", "u", "v", "cost"), arcs.where("cell <> other")
+    best = spark.createDataFrame([], "node long, cell int, cost double")
+    front = placed(spark.createDataFrame([(source, 0.0)], "node long, cost double"), ("node", "cell")).select("node", "cell", "cost")
     while True:
-        reached = arcs.join(front.withColumnRenamed("cost", "have"), arcs.u == front.node).groupBy(F.col("v").alias("node")).agg(F.min(F.col("have") + F.col("cost")).alias("cost"))
-        old = best.withColumnRenamed("cost", "old")
-        better = staged(reached.join(old, "node", "left").where("old is null or cost < old").select("node", "cost"), "front")
-        if better.isEmpty():
-            return best
-        best = staged(best.join(better, "node", "left_anti").unionByName(better), "best")
-        front = better
+        active = front.select("cell").distinct()
+        known = best.join(active, "cell", "left_semi").select("node", "cell", "cost", F.lit(False).alias("fresh")).unionAll(front.select("node", "cell", "cost", F.lit(True)))
+        better = staged(inner.join(active, "cell", "left_semi").groupBy("cell").cogroup(known.groupBy("cell")).applyInPandas(_relaxed, "node long, cell int, cost double"), "better")
+        best = staged(best.join(better, "node", "left_anti").select(better.columns).unionByName(better), "best")
+        reached = cross.join(better.select(F.col("node").alias("u"), F.col("cost").alias("have")), "u").groupBy(F.col("v").alias("node"), F.col("other").alias("cell")).agg(F.min(F.col("have") + F.col("cost")).alias("cost"))
+        front = staged(reached.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old is null or cost < old").select("node", "cell", "cost"), "front")
+        if front.isEmpty():
+            return best.select("node", "cost")
 
 
 def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
