@@ -11,6 +11,10 @@
 4. A cluster of more than one block is joined in two rounds. First each block is joined in itself and with the
    cluster's hubs. Then every document outside the cluster's largest component visits all blocks of its size; a pair
    within one component needs no comparison, so a cluster of near copies costs no pairs of all with all.
+5. Where such visits would outnumber a cluster's documents many times, tokens that a single document of the cluster
+   holds are counted. They lie in no intersection: two documents whose lone tokens together exceed what linked sets may
+   differ in are not linked. A document with more than half of that is heavy; heavy ones need not visit heavy ones,
+   and one with more than all of it visits none. A block's visitors are cut into bounded sub-blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from shapeloom.llm.common import id_and_text, shuffle_partitions, written
 from shapeloom.llm.components import connected_components
 
 _U = np.uint64
-#: Documents in a block, documents in a group of a block's matrix, and hubs of a cluster.
-BLOCK, GROUP, HUBS = 128, 8, 8
+#: Documents in a block, documents in a group of a block's matrix, hubs of a cluster, and visitors of a sub-block, about.
+BLOCK, GROUP, HUBS, GUESTS = 128, 8, 8, 1024
+#: Visits for each document of a cluster from which lone tokens are counted.
+CROWDED = 4
 
 
 def token_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -195,14 +201,67 @@ def _blocks(reps: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFra
     return placed.join(count, ["cluster", "cls"]).select("doc_id", "cluster", "cls", F.expr("pmod(xxhash64(doc_id), blks)").cast("int").alias("blk"))
 
 
-def _links(docs: DataFrame, seats: DataFrame, shingle: int, num: int, den: int, visitors_only: bool) -> DataFrame:
-    seated = docs.join(seats, "doc_id").select("cluster", "cls", "blk", "doc_id", "home", "label", "text")
+def _cluster_tokens(shingle: int, buckets: int, batches):
+    """Rows (bucket, sig, doc) of packed values: a cluster's tokens with a document; lowest bit: more than one holds it."""
+    for batch in batches:
+        for a, b in K.slices(batch.column(2)):
+            sets = token_sets(batch.column(2)[a:b], shingle)
+            ids, clusters = (batch.column(k)[a:b].to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            doc = np.repeat(ids, [len(s) for s in sets])
+            if not len(doc):
+                continue
+            sig = np.concatenate([K.mix(s ^ K.mix(np.array([c], np.int64).view(_U))) & ~_U(1) for s, c in zip(sets, clusters, strict=True)])
+            bucket = bucket_of(sig, buckets)
+            order = np.lexsort((sig, bucket))
+            bucket, sig, doc = bucket[order], sig[order], doc[order]
+            begin, size = K.groups_of(sig)
+            bucket, sig, doc = bucket[begin], sig[begin] | (size > 1).astype(_U), doc[begin]
+            rows = [(k, sig[s].tobytes(), doc[s].tobytes()) for k, s in by_bucket(bucket, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "sig", "doc"])
 
 
+def _lone(table: pa.Table) -> pa.Table:
+    """(doc, lone): a document's tokens in this bucket that no other document of its cluster holds."""
+    sig = np.concatenate([np.frombuffer(x, _U) for x in table.column("sig").to_pylist()])
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("doc").to_pylist()])
+    order = np.argsort(sig, kind="stable")
+    sig, doc = sig[order], doc[order]
+    begin, size = K.groups_of(sig >> _U(1))
+    own, lone = np.unique(doc[begin][(size == 1) & (sig[begin] & _U(1) == 0)], return_counts=True)
+    return pa.table({"doc": pa.array(own, pa.int64()), "lone": pa.array(lone.astype(np.int64))})
+
+
+def _weighed(docs: DataFrame, sets: DataFrame, members: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(doc_id, heavy, apart) of those ``members`` (doc_id, cluster) whose lone tokens bound their links."""
+    packed = docs.join(members, "doc_id").select("doc_id", "cluster", "text").mapInArrow(partial(_cluster_tokens, shingle, shuffle_partitions(docs.sparkSession)), "bucket int, sig binary, doc binary")
+    lone = packed.groupBy("bucket").applyInArrow(_lone, "doc long, lone long").groupBy(F.col("doc").alias("doc_id")).agg(F.sum("lone").alias("lone"))
+    # an id with several rows may stand for several sets: nothing is known of it
+    single = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n").alias("n")).where("rows = 1")
+    return lone.join(single, "doc_id").select("doc_id", (F.col("lone") * (num + den) > F.col("n") * (den - num)).alias("heavy"), (F.col("lone") * num > F.col("n") * (den - num)).alias("apart")).where("heavy")
+
+
+def _visits(labelled: DataFrame, minor: DataFrame) -> DataFrame:
+    """Seats of the second round: homes and visitors of each block's light and heavy part, cut into sub-blocks."""
+    keys = ["cluster", "cls", "blk", "heavy"]
+    places = labelled.where("not apart").select(*keys).distinct()
+    # a heavy document visits light homes only
+    fits = "cls between own - 1 and own + 1 and not (heavy and guest_heavy)"
+    minor = minor.where("not apart").select("doc_id", "cluster", F.col("cls").alias("own"), F.col("heavy").alias("guest_heavy"), "label")
+    number = minor.groupBy("cluster", "own", "guest_heavy").agg(F.count("*").alias("n")).join(places, "cluster").where(fits)
+    slots = number.groupBy(*keys).agg(F.ceil(F.sum("n") / GUESTS).cast("int").alias("slots"))
+    guests = minor.join(slots, "cluster").where(fits).select("doc_id", *keys, F.expr("cast(pmod(xxhash64(doc_id, 1), slots) as int)").alias("slot"), F.lit(False).alias("home"), "label")
+    homes = labelled.where("not apart").join(slots, keys).withColumn("slot", F.explode(F.expr("sequence(0, slots - 1)")))
+    return homes.select("doc_id", *keys, "slot", F.lit(True).alias("home"), "label").unionByName(guests)
+
+
+def _links(docs: DataFrame, seats: DataFrame, shingle: int, num: int, den: int, visitors_only: bool) -> DataFrame:
+    place = [c for c in ("cluster", "cls", "blk", "heavy", "slot") if c in seats.columns]
+    seated = docs.join(seats, "doc_id").select(*place, "doc_id", "home", "label", "text")
+
     def opened(table: pa.Table) -> pa.Table:
         return _open_groups(shingle, num, den, visitors_only, table)
 
-    return seated.groupBy("cluster", "cls", "blk").applyInArrow(opened, "u long, v long")
+    return seated.groupBy(*place).applyInArrow(opened, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,11 +297,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
         labelled = many.join(parts, many.doc_id == parts.node, "left").select("doc_id", "cluster", "cls", "blk", F.coalesce("component", "doc_id").alias("label"))
         labelled = written(labelled, "labels")
         largest = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top")).select("cluster", F.col("top.label").alias("main"))
-        minor = labelled.join(largest, "cluster").where("label <> main").select("doc_id", "cluster", F.col("cls").alias("own"), "label")
-        guests = minor.join(places, "cluster").where("cls between own - 1 and own + 1").select("doc_id", "cluster", "cls", "blk", F.lit(False).alias("home"), "label")
-        if not guests.isEmpty():
-            seats = labelled.withColumn("home", F.lit(True)).select(guests.columns).unionByName(guests)
-            links = links.unionByName(_links(docs, seats, shingle, num, den, True))
+        minor = labelled.join(largest, "cluster").where("label <> main").drop("main")
+        if not minor.isEmpty():
+            blocks = places.groupBy("cluster").agg(F.count("*").alias("blks"))
+            members = labelled.groupBy("cluster").agg(F.count("*").alias("total"))
+            crowded = minor.groupBy("cluster").agg(F.count("*").alias("minor")).join(blocks, "cluster").join(members, "cluster").where(F.col("minor") * F.col("blks") > F.col("total") * CROWDED).select("cluster")
+            crowded = labelled.join(crowded, "cluster", "left_semi").select("doc_id", "cluster")
+            light = [F.lit(False).alias("heavy"), F.lit(False).alias("apart")]
+            if crowded.isEmpty():
+                labelled, minor = (x.select("*", *light) for x in (labelled, minor))
+            else:
+                weight = written(_weighed(docs, sets, crowded, shingle, num, den), "weights")
+                labelled, minor = (x.join(weight, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("heavy", "apart")}) for x in (labelled, minor))
+            links = links.unionByName(_links(docs, _visits(labelled, minor), shingle, num, den, True))
     found = connected_components(links, "u", "v")
     linked = sets.join(reps, ["n", "h1", "h2"], "left")
     linked = linked.join(found, linked.rep == found.node, "left")
