@@ -31,15 +31,15 @@ def k10_k17_trace(spark, d):
 
 
 @query()
-def g5_g8_g9_g12_placement_search(spark, d):
-    """Candidate placements of each shape snapped to the network; the best and its neighbours by score.
+def k6_j3_placement_grid(spark, d):
+    """Placements of every shape on a grid of centres, then in five sizes, snapped to the network; the best by score.
 
     All candidates of a round are one DataFrame: placed corner points, a nearest-node join, mean error and count.
     """
     from shapeloom.functions.text import vertices
 
     nodes = view(spark, d, "nodes")
-    shapes = vertices(view(spark, d, "embeddings").where("vec_id < 20")).where("i % 4 = 0")
+    shapes = vertices(view(spark, d, "embeddings"))
 
     def scored(candidates):
         at = shapes.join(candidates, "vec_id")
