@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("packing", packing)]
-#: SQL can express neither the profiles nor the tokens; tests hold each stage against a plain version.
+#: SQL can express neither the profiles nor the tokens; of the stages only near_duplicates has a test of its own.
 ORACLE_SQL = None
 
 
