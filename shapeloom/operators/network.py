@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.geo import haversine
+from shapeloom.operators.components import connected_components
+from shapeloom.operators.staging import discard, written
 from shapeloom.plans.fixtures import SAFETY
 
 # Classes that runners may not use, and words that name a greenway.
@@ -21,24 +22,6 @@ METRES = 111319.49
 PER_CELL = 50_000
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="shapeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def base_safety(hw: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in SAFETY.items() for x in pair))
     return F.coalesce(table[F.coalesce(hw, F.lit(""))], F.lit(0.5))
@@ -78,17 +61,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each connected part, by labels that spread and jump."""
-    both = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")), "ends")
-    label = staged(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("c")), "labels")
-    while True:
-        near = both.join(label, both.v == label.u).groupBy(both.u).agg(F.min("c").alias("n"))
-        spread = label.join(near, "u").select("u", F.least("c", "n").alias("c"))
-        jump = spread.alias("x").join(spread.alias("y"), F.col("x.c") == F.col("y.u"), "left").select("x.u", F.coalesce("y.c", "x.c").alias("c"))
-        fresh = staged(jump, "labels")
-        if fresh.join(label, ["u", "c"], "left_anti").isEmpty():
-            return fresh.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        label = fresh
+    """(node, component): the smallest node of each connected part. A node that only loops is left out."""
+    return connected_components(edges, "a", "b")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -167,17 +141,21 @@ def shortest_costs(edges: DataFrame, source: int, per_cell: int = PER_CELL) -> D
         return df.select(*df.columns[:-2], *(cell(c).alias(name) for c, name in pairs))
 
     arcs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"), F.col("cost").cast("double").alias("cost"))
-    arcs = staged(placed(arcs.unionAll(arcs.select(F.col("v"), F.col("u"), "cost")), ("u", "cell"), ("v", "other")), "arcs")
+    arcs = written(placed(arcs.unionAll(arcs.select(F.col("v"), F.col("u"), "cost")), ("u", "cell"), ("v", "other")), "arcs")
     inner, cross = arcs.where("cell = other").select("cell", "u", "v", "cost"), arcs.where("cell <> other")
     best = spark.createDataFrame([], "node long, cell int, cost double")
     front = placed(spark.createDataFrame([(source, 0.0)], "node long, cost double"), ("node", "cell")).select("node", "cell", "cost")
     while True:
         active = front.select("cell").distinct()
         known = best.join(active, "cell", "left_semi").select("node", "cell", "cost", F.lit(False).alias("fresh")).unionAll(front.select("node", "cell", "cost", F.lit(True)))
-        better = staged(inner.join(active, "cell", "left_semi").groupBy("cell").cogroup(known.groupBy("cell")).applyInPandas(_relaxed, "node long, cell int, cost double"), "better")
-        best = staged(best.join(better, "node", "left_anti").select(better.columns).unionByName(better), "best")
+        better = written(inner.join(active, "cell", "left_semi").groupBy("cell").cogroup(known.groupBy("cell")).applyInPandas(_relaxed, "node long, cell int, cost double"), "better")
+        old, best = best, written(best.join(better, "node", "left_anti").select(better.columns).unionByName(better), "best")
+        discard(old)
         reached = cross.join(better.select(F.col("node").alias("u"), F.col("cost").alias("have")), "u").groupBy(F.col("v").alias("node"), F.col("other").alias("cell")).agg(F.min(F.col("have") + F.col("cost")).alias("cost"))
-        front = staged(reached.join(best.select("node", F.col("cost").alias("old")), "node", "left").where("old is null or cost < old").select("node", "cell", "cost"), "front")
+        known = best.select("node", F.col("cost").alias("old"))
+        old, front = front, written(reached.join(known, "node", "left").where("old is null or cost < old").select("node", "cell", "cost"), "front")
+        discard(old)
+        discard(better)
         if front.isEmpty():
             return best.select("node", "cost")
 
@@ -188,13 +166,14 @@ def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
     Costs must be above 0. Each node's predecessor is the neighbour whose cost leads to its own, of equal ones the
     smallest; paths grow by doubling, so the rounds are the logarithm of the longest path.
     """
-    cost = staged(shortest_costs(edges, source), "costs")
+    cost = written(shortest_costs(edges, source), "costs")
     arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("cost").alias("c")).unionAll(edges.select("b", "a", "cost"))
     reached = arcs.join(cost.select(F.col("node").alias("u"), F.col("cost").alias("have")), "u").where(F.col("v") != source)
     before = reached.groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("have") + F.col("c")).alias("sum"), "u")).alias("m"))
-    walk = staged(cost.join(before, "node", "left").select("node", "cost", F.array("node").alias("path"), F.col("m.u").alias("head")), "walk")
+    walk = written(cost.join(before, "node", "left").select("node", "cost", F.array("node").alias("path"), F.col("m.u").alias("head")), "walk")
     while not walk.where("head is not null").isEmpty():
         ahead = walk.select(F.col("node").alias("head"), F.col("path").alias("front"), F.col("head").alias("next"))
         longer = walk.join(ahead, "head", "left").select("node", "cost", F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path"), F.col("next").alias("head"))
-        walk = staged(longer, "walk")
+        old, walk = walk, written(longer, "walk")
+        discard(old)
     return walk.select("node", "cost", "path")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.operators.network import staged
+from shapeloom.operators.staging import discard, written
 
 #: A function from (key, side, size) to (key, side, size, km); a size that cannot be built gives no row or a null.
 Measure = Callable[[DataFrame], DataFrame]
@@ -25,13 +25,14 @@ def bisect(goals: DataFrame, measure: Measure, rounds: int = 16) -> DataFrame:
         km = measure(state.select("key", "side", F.col("mid").alias("size"))).select("key", "side", "km")
         off = F.abs(F.col("km") - F.col("goal"))
         nearer, short = F.coalesce(off < F.col("off"), F.lit(False)), F.coalesce(F.col("km") < F.col("goal"), F.lit(True))
-        state = staged(
+        old, state = state, written(
             state.join(km, ["key", "side"], "left").select(
                 "key", "side", "goal", F.when(short, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(short, F.col("hi")).otherwise(F.col("mid")).alias("hi"),
                 F.when(nearer, F.col("mid")).otherwise(F.col("size")).alias("size"), F.when(nearer, off).otherwise(F.col("off")).alias("off"),
             ),
             "bisect",
         )
+        discard(old)
     return state.select("key", "side", "size")
 
 

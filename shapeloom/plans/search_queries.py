@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shapeloom.operators import network as N
 from shapeloom.operators import raster
+from shapeloom.operators.staging import written
 from shapeloom.plans.catalog import query
 from shapeloom.plans.fixtures import view
 from shapeloom.plans.graph_queries import edges
@@ -53,7 +54,7 @@ def k6_j3_placement_grid(spark, d):
 
     grid = spark.range(5).withColumnRenamed("id", "ci").crossJoin(spark.range(5).withColumnRenamed("id", "cj"))
     start = shapes.select("vec_id").distinct().crossJoin(F.broadcast(grid)).withColumn("size", F.lit(300.0))
-    first = N.staged(best(scored(start)), "best")
+    first = written(best(scored(start)), "best")
     moves = spark.createDataFrame([(s,) for s in (0.8, 0.9, 1.0, 1.1, 1.25)], "f double")
     second = first.select("vec_id", "ci", "cj", "size").crossJoin(F.broadcast(moves)).select("vec_id", "ci", "cj", (F.col("size") * F.col("f")).alias("size"))
     return best(scored(second))
