@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = r"[\x20\x09-\x0D]+"
-
+from shapeloom.operators.staging import discard, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shapeloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["SPACES", "discard", "id_and_text", "shuffle_partitions", "words_column", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,9 +2,11 @@
 
 1. Equal sets are one class; only the document with the smallest id stands for it.
 2. Similar documents are partitioned into groups. Two sets with a Jaccard similarity of t differ in at most
-   (1/t - 1) of the smaller one's tokens. A set's tokens are dealt by hash into one part more than that number, so
-   two linked sets agree in a whole part. Documents that share a part meet in a cluster; no link leaves a cluster.
-   Clusters are cut into blocks of a bounded number of documents.
+   (1/t - 1) of the smaller one's tokens. A set's tokens are dealt by hash into one part more than that number and
+   some spare ones, so two linked sets agree in more parts than there are spare ones. A set with no more empty parts
+   than spare ones therefore agrees with each partner in a part that holds tokens, and its empty parts, in which it
+   would agree with many strangers, are left out. Documents that share a part meet in a cluster; no link leaves a
+   cluster. Clusters are cut into blocks of a bounded number of documents.
 3. In a block, groups of documents keep the union of their tokens (the token-group matrix). The overlap of a query
    document with a group's union bounds its overlap with every member; only groups that reach the bound are opened,
    and their members are compared exactly.
@@ -19,7 +21,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+import math
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from shapeloom.llm import kernels as K
 from shapeloom.llm.chunks import bucket_of, by_bucket
-from shapeloom.llm.common import id_and_text, shuffle_partitions, written
-from shapeloom.llm.components import connected_components
+from shapeloom.llm.common import discard, id_and_text, shuffle_partitions, written
+from shapeloom.operators.components import connected_components
 
 _U = np.uint64
 #: Documents in a block, documents in a group of a block's matrix, hubs of a cluster, and visitors of a sub-block, about.
@@ -72,18 +75,35 @@ def size_classes(num: int, den: int, most: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-def parts_of(bounds: np.ndarray, c: int, num: int, den: int) -> int:
-    """Parts for pairs whose smaller set is of class c: one more than the tokens in which they may differ."""
-    return int((bounds[c + 1] - 1) * (den - num) // num) + 1
+@lru_cache(4096)
+def parts_of(least: int, beyond: int, num: int, den: int) -> tuple[int, int]:
+    """Parts, and how many of them are spare, for pairs whose smaller set has from ``least`` to below ``beyond`` tokens.
 
-
-def _part_signatures(tokens: np.ndarray, c: int, parts: int) -> np.ndarray:
-    """A hash of the tokens in each part; a part without tokens has one too."""
+    There are as many spare parts as the smallest sets have empty ones, but for rare sets (three deviations). Where so
+    few tokens go to so many parts that no number is enough, the one that comes nearest is taken.
+    """
+    differ = (beyond - 1) * (den - num) // num
+    found, nearest = 0, -math.inf
+    for spare in range(differ + 4):
+        parts = differ + 1 + spare
+        empty = parts * math.exp(-least / parts)
+        margin = (spare - empty) / math.sqrt(empty + 1e-9)
+        if margin > nearest:
+            found, nearest = spare, margin
+        if margin >= 3:
+            break
+    return differ + 1 + found, found
+
+
+def _part_signatures(tokens: np.ndarray, c: int, parts: int, spare: int) -> np.ndarray:
+    """A hash of the tokens in each part. Parts without tokens have one too where there are more of them than spare ones."""
     mixed = K.mix(tokens + _U(0x94D049BB133111EB))
     part = (mixed % _U(parts)).astype(np.int64)
     low = np.bincount(part, (mixed >> _U(8) & _U(0xFFFFFFF)).astype(np.float64), parts).astype(_U)
     high = np.bincount(part, (mixed >> _U(36)).astype(np.float64), parts).astype(_U)
-    return K.mix((high * _U(0x9E3779B97F4A7C15)) ^ (low * _U(0xC2B2AE3D27D4EB4F)) ^ K.mix(np.arange(parts, dtype=_U) + _U(c << 32)))
+    own = K.mix((high * _U(0x9E3779B97F4A7C15)) ^ (low * _U(0xC2B2AE3D27D4EB4F)) ^ K.mix(np.arange(parts, dtype=_U) + _U(c << 32)))
+    filled = np.bincount(part, minlength=parts) > 0
+    return own[filled] if parts - np.count_nonzero(filled) <= spare else own
 
 
 def _signatures(shingle: int, num: int, den: int, buckets: int, batches):
@@ -99,7 +119,7 @@ def _signatures(shingle: int, num: int, den: int, buckets: int, batches):
                 c = int(np.searchsorted(bounds, len(tokens), "right")) - 1
                 for k in {c, max(c - 1, 0)}:
                     # the lowest bit: the set is of the smaller class of this scheme. Pairs without such a set meet in the next scheme
-                    own = _part_signatures(tokens, k, parts_of(bounds, k, num, den))
+                    own = _part_signatures(tokens, k, *parts_of(int(bounds[k]), int(bounds[k + 1]), num, den))
                     sigs.append(own & ~_U(1) | _U(k == c))
                     docs.append(np.full(len(own), i, np.int64))
             if not sigs:
@@ -291,11 +311,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     places = many.select("cluster", "cls", "blk").distinct()
     visits = hubs.join(places, "cluster").join(many.select("doc_id", "cluster", "cls", "blk"), ["doc_id", "cluster", "cls", "blk"], "left_anti")
     seats = home.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False))).withColumn("label", F.col("doc_id"))
-    links = written(_links(docs, seats, shingle, num, den, False), "joined")
+    links = first = written(_links(docs, seats, shingle, num, den, False), "joined")
+    discard(meetings)
+    passing = [home, first]
     if not places.isEmpty():
         parts = connected_components(links, "u", "v")
         labelled = many.join(parts, many.doc_id == parts.node, "left").select("doc_id", "cluster", "cls", "blk", F.coalesce("component", "doc_id").alias("label"))
         labelled = written(labelled, "labels")
+        passing.append(labelled)
         largest = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top")).select("cluster", F.col("top.label").alias("main"))
         minor = labelled.join(largest, "cluster").where("label <> main").drop("main")
         if not minor.isEmpty():
@@ -308,9 +331,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
                 labelled, minor = (x.select("*", *light) for x in (labelled, minor))
             else:
                 weight = written(_weighed(docs, sets, crowded, shingle, num, den), "weights")
+                passing.append(weight)
                 labelled, minor = (x.join(weight, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("heavy", "apart")}) for x in (labelled, minor))
             links = links.unionByName(_links(docs, _visits(labelled, minor), shingle, num, den, True))
     found = connected_components(links, "u", "v")
+    for table in passing:
+        discard(table)
     linked = sets.join(reps, ["n", "h1", "h2"], "left")
     linked = linked.join(found, linked.rep == found.node, "left")
     merged = linked.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("own"))

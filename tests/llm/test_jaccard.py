@@ -5,7 +5,7 @@ from shapeloom.llm import jaccard_join
 
 def shingles(text, n=3):
     w = text.split()
-    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
 def templated(n, own, seed, copies=()):
@@ -23,17 +23,17 @@ def visits(monkeypatch, spark, texts):
 
     def spy(docs, seats, shingle, num, den, visitors_only):
         if visitors_only:
-            seen.append(seats)
+            seen.append(seats.collect())
         return links(docs, seats, shingle, num, den, visitors_only)
 
     monkeypatch.setattr(jaccard_join, "_links", spy)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 3, 90, 100).collect()}
-    return got, seen[0].collect() if seen else []
+    return got, seen[0] if seen else []
 
 
-def plain(texts):
-    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+def plain(texts, n=3, num=90):
+    sets, up = [shingles(t, n) for t in texts], list(range(len(texts)))
 
     def top(x):
         while up[x] != x:
@@ -43,7 +43,7 @@ def plain(texts):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if 100 * both >= 90 * (len(a) + len(sets[j]) - both):
+            if sets[j] and a and 100 * both >= num * (len(a) + len(sets[j]) - both):
                 x, y = top(i), top(j)
                 up[max(x, y)] = min(x, y)
     return {i: top(i) for i in range(len(texts))}
@@ -69,3 +69,45 @@ def test_sub_blocks_find_every_link(spark, monkeypatch):
         key = (s.cluster, s.cls, s.blk, s.heavy, s.slot)
         blocks[key] = blocks.get(key, 0) + (not s.home)
     assert max(blocks.values()) <= 4 * 32
+
+
+def test_unrelated_documents_do_not_meet_and_a_star_is_found(spark, monkeypatch):
+    """10,000 unrelated documents of one size, and 5,000 copies that each link with one document and not with each other."""
+    rng, met = random.Random(3), []
+    word = lambda: f"w{rng.randrange(100_000)}"
+    texts = [" ".join(word() for _ in range(60)) for _ in range(10_000)]
+    base = [word() for _ in range(60)]
+    texts.append(" ".join(base))
+    for k in range(5_000):
+        at = 6 + k % 48
+        texts.append(" ".join([*base[:at], f"own{k}", *base[at + 1 :]]))
+    write = jaccard_join.written
+
+    def spy(table, label):
+        made = write(table, label)
+        if label == "meetings":
+            met.append(made.where("doc < 10000 and pivot < 10000").count())
+        return made
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: min(i, 10_000) for i in range(15_001)} and met[0] < 10
+
+
+def test_every_link_of_random_sets(spark):
+    """Sets of all sizes from the smallest on, at similarities about the bound, against all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):
+        words = [f"v{rng.randrange(10_000)}" for _ in range(rng.choice([7, 8, 9, 12, 20, 40, 90, 200]))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            changed = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 30)):
+                changed[rng.randrange(len(changed))] = f"c{rng.randrange(10_000)}"
+            texts.append(" ".join(changed + [f"t{k}"] * rng.randrange(3)))
+    for shingle, num in ((5, 80), (3, 90), (2, 60)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, shingle, num, 100).collect()}
+        assert got == plain(texts, shingle, num), (shingle, num)

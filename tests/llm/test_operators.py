@@ -69,24 +69,3 @@ def test_held_out_likelihood(spark):
     docs = frame(spark, [(i, "the cat sat on the mat and the dog ran away") for i in range(40)])
     rows = lm_score.score_texts(docs).where("held_out").agg(F.avg("score").alias("s"), F.avg("base_score").alias("b")).first()
     assert zlib.crc32(b"2") % 7 >= 0 and rows.s > rows.b
-
-
-def test_components_against_plain_union(spark):
-    from shapeloom.llm.components import connected_components
-
-    edges = [(i, i + 1) for i in range(300)] + [(1000 + i * 7919 % 331, 1000 + i * 104729 % 337) for i in range(250)] + [(5, 5), (None, 2), (2, None), (5000, 5000)]
-    up = {x: x for e in edges for x in e if x is not None}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    real = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
-    for a, b in real:
-        a, b = top(a), top(b)
-        up[max(a, b)] = min(a, b)
-    want = sorted({(x, top(x)) for e in real for x in e})
-    frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
-    assert sorted(map(tuple, connected_components(frame, "a", "b").collect())) == want
-    assert connected_components(frame.where("false"), "a", "b").collect() == []
