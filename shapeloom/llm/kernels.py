@@ -81,10 +81,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offsets of each row's words."""
-    if not len(body):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+def lower_bytes(body: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased."""
+    return _LOWER[body]
+
+
+def word_places(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; a word does not reach into the next row."""
     word = ~_SPACE[body]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -92,12 +95,32 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     first[heads] = word[heads]
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the offsets of each row's words."""
+    if not len(body):
+        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    starts, ends = word_places(body, offsets)
     hashes = _ranges(_BYTE[_LOWER[body] if lower else body], _M_BYTE, starts, ends)
     hashes += (ends - starts).astype(_U) * _U(0xA0761D6478BD642F)
     return mix(hashes), np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def word_beginnings(body: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each number of bytes, hashes of the beginnings of all words, A-Z lower-cased; 0 for a shorter word."""
+    if not len(body):
+        return [np.zeros(0, _U) for _ in sizes]
+    starts, ends = word_places(body, offsets)
+    values = _BYTE[_LOWER[body]]
+    made = []
+    for n in sizes:
+        found = mix(_ranges(values, _M_BYTE, starts, np.minimum(starts + n, ends)) + _U(n * 0xE7037ED1A0B428DB % (1 << 64)))
+        made.append(np.where(ends - starts >= n, found, _U(0)))
+    return made
+
+
 def ngram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of n words within a row, the word index of each, and the offsets of each row's runs."""
     counts = np.maximum(np.diff(offsets) - n + 1, 0)
