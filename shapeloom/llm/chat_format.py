@@ -3,10 +3,11 @@
     conversation = { turn }
     turn         = "### " role ":\n" text "\n</turn>\n"
 
-The role is URL-encoded. In a text, "###" and "</turn>" are control strings. A text is first rendered as it is and
-read back by the grammar's parser; where that does not give the text again, every control string, with the
-backslashes before it, gets one backslash more, which the parser takes away. A real marker always begins a line, so no
-backslash ever stands before one. The parser is a split at real turn ends and one pattern a turn.
+In a role, "%", ":" and line feeds are written as "%25", "%3A" and "%0A". In a text, "###" and "</turn>" are control
+strings. A text is first rendered as it is and read back by the grammar's parser. As long as that does not give the
+text again, it is escaped further: first every "</turn>", then every control string, with the backslashes before it,
+gets one backslash more, which the parser takes away. The last form reads back as any text: a real marker begins a line,
+so no backslash ever stands before one. The parser is a split at real turn ends and one pattern a turn.
 """
 
 from __future__ import annotations
@@ -16,19 +17,29 @@ from pyspark.sql import functions as F
 
 HEAD, COLON, END = "### ", ":\n", "\n</turn>\n"
 _CONTROL = r"(\\*)(###|</turn>)"
+_ENDS = r"(\\*)(</turn>)"
 _ESCAPED = r"\\(\\*)(###|</turn>)"
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, _CONTROL, r"\\$1$2")
+def escape(text: Column, what: str = _CONTROL) -> Column:
+    return F.regexp_replace(text, what, r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, "$1$2")
 
 
+def encoded(role: Column) -> Column:
+    """A role without colons and line feeds."""
+    return F.replace(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit(":"), F.lit("%3A")), F.lit("\n"), F.lit("%0A"))
+
+
+def decoded(role: Column) -> Column:
+    return F.replace(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%3A"), F.lit(":")), F.lit("%25"), F.lit("%"))
+
+
 def render(role: Column, body: Column) -> Column:
-    return F.concat(F.lit(HEAD), F.url_encode(role), F.lit(COLON), body, F.lit(END))
+    return F.concat(F.lit(HEAD), encoded(role), F.lit(COLON), body, F.lit(END))
 
 
 def parse(formatted: Column) -> Column:
@@ -39,7 +50,7 @@ def parse(formatted: Column) -> Column:
     return F.transform(
         turns,
         lambda p: F.struct(
-            F.url_decode(F.substring(p, len(HEAD) + 1, cut(p) - len(HEAD) - 1)).alias("role"),
+            decoded(F.substring(p, len(HEAD) + 1, cut(p) - len(HEAD) - 1)).alias("role"),
             unescape(F.substring(p, cut(p) + len(COLON), F.length(p))).alias("text"),
         ),
     )
@@ -55,9 +66,15 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     id. Other columns are not read. No rows give no rows. A conversation is one text, so its rows meet in one task.
     """
     clean = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    plain = render(F.col("role"), F.col("text"))
-    same = lambda parsed: (F.size(parsed) == 1) & (parsed[0]["role"] == F.col("role")) & (parsed[0]["text"] == F.col("text"))
-    body = F.when(F.col("text").rlike(_CONTROL) & ~same(parse(plain)), escape(F.col("text"))).otherwise(F.col("text"))
+    text = F.col("text")
+
+    def identical(body: Column) -> Column:
+        """Whether a turn with this body reads back as the row."""
+        parsed = parse(render(F.col("role"), body))
+        return (F.size(parsed) == 1) & (parsed[0]["role"] == F.col("role")) & (parsed[0]["text"] == text)
+
+    ends = escape(text, _ENDS)
+    body = F.when(~text.rlike(_CONTROL) | identical(text), text).when(identical(ends), ends).otherwise(escape(text))
     turns = clean.withColumn("body", body).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "body"))).alias("turns"))
     rendered = turns.withColumn("formatted", F.array_join(F.transform("turns", lambda t: render(t["role"], t["body"])), ""))
     head = lambda t: F.length(render(t["role"], F.lit(""))) - len(END)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[ \t\n\v\f\r]+'), lambda w: w <> '')"
 
-#: The same format, written from the grammar: turn heads, escaped control strings, turn ends.
+#: The same format: each text as it is, with escaped turn ends, or with all control strings escaped, whichever first
+#: reads back as the text: the first turn end stands behind it, and one backslash taken away gives it again.
 _OP1 = r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), forms as (
+  select *, [text, regexp_replace(text, '(\\*)(</turn>)', '\\\1\2', 'g'), regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g')] as bodies from rows
 ), made as (
-  select *, '### ' || role || chr(58) || chr(10) || regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') || chr(10) || '</turn>' || chr(10) as formatted from rows
+  select *, '### ' || replace(replace(replace(role, '%', '%25'), chr(58), '%3A'), chr(10), '%0A') || chr(58) || chr(10)
+    || coalesce(list_filter(bodies, lambda b: strpos(chr(10) || b || chr(10) || '</turn>' || chr(10), chr(10) || '</turn>' || chr(10)) = length(b) + 2
+      and regexp_replace(b, '\\(\\*)(###|</turn>)', '\1\2', 'g') = text)[1], bodies[3]) || chr(10) || '</turn>' || chr(10) as formatted from forms
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
