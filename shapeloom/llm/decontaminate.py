@@ -33,7 +33,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     """The words of each document that lie in an occurrence of an item's window.
 
     A window is ``window`` consecutive item words; an item of fewer words, but not none, is one window. Returns one
-    row for each document: doc_id, n_words, n_hit, hits (word positions in order), items (ids as strings, in order).
+    row for each document: doc_id, of (xxhash64 of its text, a null text being empty), n_words, n_hit, hits (word
+    positions in order), items (ids as strings, in order).
     A null text or one without words has none; a null item text is no window; a null item id reads ''. Repeated items
     count once by id. Rows that repeat both id and text are one document; a null id is an id. Other columns are not
     read. An empty benchmark hits nothing; no documents give no rows.
@@ -90,4 +91,4 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     first = F.col("p") - F.col("before")
     spans = runs.select("doc_id", "of", "n", F.when(good, F.col("item")).alias("item"), F.when(good, F.sequence(first + F.col("low"), first + F.col("high"))).alias("hit"))
     found = spans.groupBy("doc_id", "of").agg(F.max("n").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
-    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")
+    return found.select("doc_id", "of", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")

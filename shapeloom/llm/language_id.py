@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
-from shapeloom.llm.common import id_and_text, written
+from shapeloom.llm.common import discard, written
 
 #: N-grams of a profile; n-grams up to so many letters; distinct n-grams that a task gathers before it sends them on.
 PROFILE, ORDER, FLUSH = 400, 3, 1_000_000
+#: Languages whose profiles fit into a task.
+LANGUAGES = 2000
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -96,7 +99,7 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return total.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
-def _predict(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int):
+def _predict(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int, passed: tuple[str, ...], text_col: str):
     def run(batches):
         for batch in batches:
             preds, scores = [], []
@@ -120,28 +123,42 @@ def _predict(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int):
                 best = int(np.argmin(apart))
                 preds.append(langs[best])
                 scores.append(float(1.0 - apart[best] / (size * len(top))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            columns = [batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            names = ["doc_id", "held_out", "lang_pred", "score"]
+            for name in passed:
+                names.append(name)
+                columns.append(batch.column(1 if name == text_col else batch.schema.names.index(name, 3)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0, size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0, size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """The language of every whole text, learnt from the rows outside one fold that name their language.
 
     A row's fold is crc32(id as text) mod ``folds``. Returns for each row of ``docs``: doc_id, held_out, lang_pred (a
     learnt language; the first by name where two are equally near), score (1 less the distance over the greatest
     possible one). A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing
-    could be learnt. A row without an id is in no fold. Repeated rows all count. Other columns are not read.
+    could be learnt. A row without an id is in no fold. Repeated rows all count. The columns named in ``keep`` are
+    passed on as they are; no other column is read. No rows give no rows. More than LANGUAGES languages are an error,
+    as the profiles of all of them are held in memory.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False)))
-    fold = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
-    known = docs.where(~fold).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    fold = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), fold.alias("held_out"), *(c for c in keep if c != text_col))
+    known = docs.where(~fold).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # some hundred n-grams for each language
-    table = written(profiles(known, size), "profiles").toPandas()
-    langs = sorted(table["lang"].unique())
-    grams = np.unique(table["gram"].to_numpy(np.int64))
+    table = written(profiles(known, size), "profiles")
+    if table.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    profile = table.toPandas()
+    discard(table)
+    langs = sorted(profile["lang"].unique())
+    grams = np.unique(profile["gram"].to_numpy(np.int64))
     ranks = np.full((len(grams), len(langs)), size, np.int64)
     for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
+        own = profile[profile["lang"] == lang]
         ranks[np.searchsorted(grams, own["gram"].to_numpy(np.int64)), k] = own["rank"].to_numpy(np.int64)
-    return rows.mapInArrow(_predict(langs, grams, ranks, size), "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
+    kept = docs.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep)).schema.fields
+    return rows.mapInArrow(_predict(langs, grams, ranks, size, keep, text_col), StructType([*schema.fields, *kept]))

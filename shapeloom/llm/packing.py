@@ -172,8 +172,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, pe
     for n, k in pieces.groupBy("length").count().collect():
         counts[n] = k
     bound, total = bound_of_counts(counts), int(counts[length])
-    named = F.concat_ws("-", F.lit("alone"), "doc_id", "piece")
-    done = [alone.select(*columns, F.xxhash64(named, F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    # full pieces have numbers below 0, by their place in the written table; packed sequences have others
+    done = [alone.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, held, held_bins, turn = int(counts[:length].sum()), None, 0, 0
     while left:
         groups = -(-left // per_group)
