@@ -95,6 +95,25 @@ def nearest(points: DataFrame, key: str, nodes: DataFrame, reach: float) -> Data
     return near.groupBy(key).agg(F.min(F.struct("d", "node")).alias("m")).select(key, "m.node", "m.d")
 
 
+def nearest_at_any_distance(points: DataFrame, key: str, nodes: DataFrame, reach: float, growth: float = 4.0) -> DataFrame:
+    """(key, node, d): the nearest node at any distance. Points without a node in reach look again, farther away.
+
+    A round joins on cells of its own reach, so a point meets the nodes of nine cells. The last round reaches half
+    around the earth. Without nodes there are no rows.
+    """
+    found, left = None, points
+    while True:
+        near = nearest(left, key, nodes, reach)
+        if reach > 2.1e7:
+            return near if found is None else found.unionByName(near)
+        near = written(near, "near")
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near, key, "left_anti")
+        if left.isEmpty():
+            return found
+        reach *= growth
+
+
 def _cell_of(cells: int):
     """The cell of a node: ranges of ids, which are near each other on the map more often than not."""
     return lambda c: F.when(F.col("high") > F.col("low"), F.floor((F.col(c) - F.col("low")).cast("double") * cells / (F.col("high") - F.col("low") + 1))).otherwise(0).cast("int")

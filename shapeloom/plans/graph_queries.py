@@ -56,13 +56,21 @@ def a14_a15_net_stats(spark, d):
     return view(spark, d, "nodes").agg(F.count("*").alias("nodes"), F.floor(F.avg("lat") * 1e6 + 0.5).cast("long").alias("lat_micro"), F.min("id").alias("first"))
 
 
-@query()
+#: Every node's smallest reachable node: labels spread along edges as long as one gets smaller.
+_PARTS = (
+    "with recursive " + _SAFE[5:] + ", ends as (select a as u, b as v from e where a <> b union all select b, a from e where a <> b),"
+    " part(node, component) using key (node) as (select distinct u, u from ends"
+    " union select ends.u, min(part.component) from part join ends on ends.v = part.node join recurring.part old on old.node = ends.u where part.component < old.component group by ends.u)"
+)
+
+
+@query(_PARTS + " select component, count(*) as n from part group by component")
 def g2_components(spark, d):
     """Nodes of each connected component."""
     return N.components(edges(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_PARTS + ", best as (select component from part group by component order by count(*) desc, component limit 1) select a, b, cost from e where a in (select node from part join best using (component))")
 def g2_t7_largest_component(spark, d):
     """The edges of the largest component."""
     return N.largest_component(edges(spark, d)).select("a", "b", "cost")
@@ -87,17 +95,23 @@ def j4_j5_u6_points_within(spark, d):
 _TR = "2 * 63710088e-1 * asin(sqrt(pow(sin((radians(t.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin((radians(t.lon) - radians(p.lon)) / 2), 2)))"
 
 
-@query("with p as (select * from " + _POI + " x where layer <> 3), t as (select * from " + _POI + " y where layer = 3), j as (select p.ord, t.ord as stop, " + _TR + " as d from p, t), b as (select ord, arg_min(stop, (d, stop)) as stop, min(d) as d from j where d <= 1500 group by ord)"
-       " select p.ord, b.stop, coalesce(b.d, 9999e0) as d from p left join b using (ord)")
+@query("with p as (select * from " + _POI + " x where layer <> 3), t as (select * from " + _POI + " y where layer = 3), j as (select p.ord, t.ord as stop, " + _TR + " as d from p, t)"
+       " select ord, arg_min(stop, (d, stop)) as stop, min(d) as d from j group by ord")
 def j6_t3_nearest_transit(spark, d):
-    """The nearest stop within the scored reach of 1,500 m; 9999 where there is none."""
+    """The nearest stop of each point, at any distance, in rings that widen until one is found."""
     poi = view(spark, d, "poi")
-    stops = poi.where("layer = 3").select(F.col("ord").alias("stop"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    near = N.within(poi.where("layer <> 3"), stops, 1500.0).groupBy("ord").agg(F.min(F.struct("d", "stop")).alias("m"))
-    return poi.where("layer <> 3").select("ord").join(near, "ord", "left").select("ord", "m.stop", F.coalesce("m.d", F.lit(9999.0)).alias("d"))
+    stops = poi.where("layer = 3").select(F.col("ord").alias("id"), "lat", "lon")
+    return N.nearest_at_any_distance(poi.where("layer <> 3"), "ord", stops, 500.0).select("ord", F.col("node").alias("stop"), "d")
+
+
+_COSTS = (
+    "with recursive " + _SAFE[5:] + ", ends as (select a as u, b as v, cost from e union all select b, a, cost from e),"
+    " best(node, cost) using key (node) as (select 0, cast(0 as double)"
+    " union select ends.v, min(best.cost + ends.cost) from best join ends on ends.u = best.node left join recurring.best old on old.node = ends.v where old.cost is null or best.cost + ends.cost < old.cost group by ends.v)"
+)
 
 
-@query()
+@query(_COSTS + " select node, cost from best")
 def g4_shortest_costs(spark, d):
     """Least cost from node 0 to every node that it reaches, by relaxation to a fixed point."""
     return N.shortest_costs(edges(spark, d), 0)

@@ -12,7 +12,8 @@ from shapeloom.plans.catalog import query
 from shapeloom.plans.fixtures import GREEN, SAFETY, sql, view
 
 STEPS = "with s as (" + sql("steps") + ")"
-_SAFE = "case hw " + " ".join(f"when '{c}' then {int(v * 100)}e-2" for c, v in SAFETY.items()) + " else 5e-1 end"
+#: Safety in whole hundredths, so that sums do not depend on the order of addition.
+_SAFE = "case hw " + " ".join(f"when '{c}' then {round(v * 100)}" for c, v in SAFETY.items()) + " else 50 end"
 _GREEN = "hw in (" + ", ".join(f"'{c}'" for c in GREEN) + ")"
 def along():
     """A route's steps in order."""
@@ -38,7 +39,7 @@ def aggregates(s: DataFrame) -> DataFrame:
     length = F.col("length")
     return s.withColumn("again", again).groupBy("route").agg(
         F.sum(length).alias("length_m"),
-        (F.sum(base_safety(F.col("hw")) * length) / F.sum(length)).alias("safety_raw"),
+        (F.sum(F.round(base_safety(F.col("hw")) * 100) * length) / (100.0 * F.sum(length))).alias("safety_raw"),
         (F.sum(F.when(green(F.col("hw")), length).otherwise(0.0)) / F.sum(length)).alias("greenway"),
         F.sum(F.when(F.col("lit") == "no", length).otherwise(0.0)).alias("dark_m"),
         (F.sum(F.when(F.col("again"), length).otherwise(0.0)) / F.sum(length)).alias("retrace"),
@@ -46,11 +47,11 @@ def aggregates(s: DataFrame) -> DataFrame:
 
 
 _AGG = (
-    STEPS + ", t as (select *, row_number() over (partition by route, node order by i) > 1 as again from s), g as (select route, sum(length) as length_m, sum(" + _SAFE + " * length) / sum(length) as safety_raw,"
+    STEPS + ", t as (select *, row_number() over (partition by route, node order by i) > 1 as again from s), g as (select route, sum(length) as length_m, sum(" + _SAFE + " * length) / (100e0 * sum(length)) as safety_raw,"
     " sum(case when " + _GREEN + " then length else 0 end) / sum(length) as greenway, sum(case when lit = 'no' then length else 0 end) as dark_m,"
     " sum(case when again then length else 0 end) / sum(length) as retrace from t group by route)"
 )
-#: Sums of rounded parts depend on the order of addition: what is compared is cut to whole millionths.
+#: Lengths are whole metres, so all sums are exact; what is compared is cut to whole millionths.
 _MILLI = lambda x: f"cast(floor(({x}) * 1e6 + 5e-1) as bigint)"
 
 

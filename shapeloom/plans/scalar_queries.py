@@ -55,10 +55,10 @@ def s7_s9_slug(spark, d):
     return view(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"), F.sha1("url").alias("key"))
 
 
-@query("select page_id, replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from pages")
+@query("select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from pages")
 def s8_xml_escape(spark, d):
     """XML escapes."""
-    return view(spark, d, "pages").select("page_id", T.xml_escape(F.substring("html", 1, 300)).alias("escaped"))
+    return view(spark, d, "pages").select("page_id", T.xml_escape(F.col("html")).alias("escaped"))
 
 
 @query("select n_nationkey, concat_ws('-', lower(n_name), replace('cat_' || n_regionkey, 'cat_', ''), case when n_nationkey % 2 = 0 then 'standard' else 'challenge' end) as slug from nation")
@@ -107,11 +107,11 @@ def s18_s20_io22_clamps(spark, d):
     return view(spark, d, "events").select("user_id", "event_id", k.alias("k"), geo.clamp(k, 0, 30).alias("capped"))
 
 
-@query("select p_partkey as id, cast(floor(299e-3 * (p_size * 5) + 587e-3 * (p_size * 3) + 114e-3 * p_size + 5e-1) as bigint) as luma, 80e0 + (p_size - 25) * 16e-1 as px, case when p_size >= 40 then 'hi' when p_size >= 31 then 'mid' else 'lo' end as hue, abs(p_size - 25) <= 4 as near from part")
+@query("select p_partkey as id, cast(floor(299e-3 * (p_size * 5) + 587e-3 * (p_size * 3) + 114e-3 * p_size + 5e-1) as bigint) as luma, 80e0 + (p_size - 25) * 16e-1 as px, case when p_size * 2 >= 80 then 'hi' when p_size * 2 >= 62 then 'mid' else 'lo' end as hue, abs(p_size - 25) <= 4 as near from part")
 def s17_s19_s21_s22_p16_display(spark, d):
     """S17 luma, S19 S21 projection, S22 tolerance, P16 hue."""
     s = F.col("p_size")
-    hue = F.when(s >= 40, "hi").when(s >= 31, "mid").otherwise("lo")
+    hue = F.when(s * 2 >= 80, "hi").when(s * 2 >= 62, "mid").otherwise("lo")
     return view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.floor(T.luma(s * 5, s * 3, s) + 0.5).cast("long").alias("luma"), (80.0 + (s - 25) * 1.6).alias("px"), hue.alias("hue"), (F.abs(s - 25) <= 4).alias("near"))
 
 
@@ -131,7 +131,7 @@ def k1_k2_a9_normalised_shape(spark, d):
 def k3_perimeter(spark, d):
     """K3: the length of the closed outline."""
     rows = T.vertices(view(spark, d, "embeddings")).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
-    ring = F.zip_with("p", F.concat(F.slice("p", 2, 100), F.slice("p", 1, 1)), lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], F.lit(2)) + F.pow(b["y"] - a["y"], F.lit(2))))
+    ring = F.zip_with("p", F.concat(F.slice("p", F.lit(2), F.size("p")), F.slice("p", 1, 1)), lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], F.lit(2)) + F.pow(b["y"] - a["y"], F.lit(2))))
     return rows.select("vec_id", F.floor(F.aggregate(ring, F.lit(0.0), lambda s, x: s + x) * 1e6 + 0.5).cast("long").alias("perimeter_micro"))
 
 
@@ -145,7 +145,7 @@ def k4_k6_control_points(spark, d):
     return c.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / 60)))).select("route", "i", "j", (F.col("start_m") + F.col("j") * 60.0).alias("at_m"))
 
 
-@query(_V + ", s as (select vec_id, i, x as ax, y as ay, lead(x) over (partition by vec_id order by i) as bx, lead(y) over (partition by vec_id order by i) as ey from v), q as (select vec_id, i as k, x * 11e-1 as px, y * 9e-1 as py from v where i % 8 = 0),"
+@query(_V + ", s as (select vec_id, i, x as ax, y as ay, lead(x) over (partition by vec_id order by i) as bx, lead(y) over (partition by vec_id order by i) as ey from v), q as (select vec_id, i as k, x * 11e-1 as px, y * 9e-1 as py from v),"
        " t as (select q.vec_id, q.k, ax, ay, bx, ey, px, py, greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (ey - ay)) / (pow(bx - ax, 2) + pow(ey - ay, 2)))) as t from q join s using (vec_id) where bx is not null)"
        " select vec_id, k, cast(floor(min(sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (ey - ay)), 2))) * 1e6 + 5e-1) as bigint) as d_micro from t group by vec_id, k")
 def j12_k7_k8_polyline_distance(spark, d):
@@ -156,7 +156,7 @@ def j12_k7_k8_polyline_distance(spark, d):
     line = Window.partitionBy("vec_id").orderBy("i")
     c = F.col
     s = v.select("vec_id", c("x").alias("ax"), c("y").alias("ay"), F.lead("x").over(line).alias("bx"), F.lead("y").over(line).alias("by")).where("bx is not null")
-    q = v.where("i % 8 = 0").select("vec_id", c("i").alias("k"), (c("x") * 1.1).alias("px"), (c("y") * 0.9).alias("py"))
+    q = v.select("vec_id", c("i").alias("k"), (c("x") * 1.1).alias("px"), (c("y") * 0.9).alias("py"))
     sq = lambda x: F.pow(x, F.lit(2))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("px") - c("ax")) * (c("bx") - c("ax")) + (c("py") - c("ay")) * (c("by") - c("ay"))) / (sq(c("bx") - c("ax")) + sq(c("by") - c("ay")))))
     gap = F.sqrt(sq(c("px") - (c("ax") + c("t") * (c("bx") - c("ax")))) + sq(c("py") - (c("ay") + c("t") * (c("by") - c("ay")))))
