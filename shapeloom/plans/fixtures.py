@@ -41,7 +41,8 @@ _POI = (
     "select s_suppkey as ord, s_suppkey % 5 as layer, s_name as name, 241e-1 + ((s_suppkey * 7919) % 1000) * 36e-6 as lat, 1206e-1 + ((s_suppkey * 104729) % 1000) * 49e-6 as lon from {supplier}"
 )
 _TRACK = "select user_id as track, ts, event_id, value as elevation, props from {events}"
-VIEWS = {"nodes": _NODES, "pairs": _PAIRS, "edges": _EDGES, "steps": _STEPS, "poi": _POI, "track": _TRACK}
+_WALK = "select s.route, s.i, s.node, s.length, s.hw, s.lit, s.name, n.lat, n.lon from ({steps}) s join ({nodes}) n on n.id = s.node"
+VIEWS = {"nodes": _NODES, "pairs": _PAIRS, "edges": _EDGES, "steps": _STEPS, "poi": _POI, "track": _TRACK, "walk": _WALK}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
 

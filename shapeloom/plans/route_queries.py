@@ -214,34 +214,6 @@ def a11_a12_p9_snap_quality(spark, d):
     return g.select("route", "mean_m", "max_m", F.get("xs", F.floor(F.col("n") * 0.9).cast("int")).alias("p90_m"), ((F.col("n") >= 4) & (F.col("mean_m") <= 260) & (F.col("max_m") <= 416)).alias("accepted"))
 
 
-_PARTS = (
-    _AGG + ", h as (select *, length_m / 1000 * 20 as km, dark_m / 100 as rate, dark_m / 1000 * 8 as gap, 400 + dark_m as walk, 5 + dark_m / 10 as gain from g), p as (select route, km,"
-    " 5e-1 * (1 - retrace) + 2e-1 * " + _band_sql("dark_m", "30e0", "400e0") + " + 15e-2 * " + _band_sql("retrace", "5e-2", "4e-1") + " + 15e-2 * " + _band_sql("length_m / 25", "40e0", "12e0") + " as shape,"
-    " 45e-2 * safety_raw + 25e-2 * " + _band_sql("rate", "15e-1", "4e0") + " + 2e-1 * least(1e0, greenway / 35e-2) + 1e-1 * " + _band_sql("dark_m / 100", "0e0", "6e0") + " as safety,"
-    " 7e-1 * (case when km between 5 and 8 then 1e0 else " + _band_sql("case when km < 5 then 5 - km else km - 8 end", "0e0", "3e0") + " end) + 3e-1 * " + _band_sql("gain", "5 * km", "(15 * km + 30)") + " as distance,"
-    " 4e-1 * " + _band_sql("abs(greenway - 5e-1)", "0e0", "9e-1") + " + 35e-2 * least(1e0, greenway / 3e-1) + 25e-2 * " + _band_sql("abs(least(floor(rate), 3e0) - 3)", "0e0", "3e0") + " as district,"
-    " 55e-2 * " + _band_sql("walk", "400e0", "1500e0") + " + 45e-2 * " + _band_sql("gap", "3e0", "6e0") + " as logistics from h)"
-)
-
-
-@query(_PARTS + " select route, " + ", ".join(f"{_MILLI(c)} as {c}" for c in ("shape", "safety", "distance", "district", "logistics")) + f", {_MILLI('100 * (3e-1 * shape + 25e-2 * safety + 2e-1 * distance + 15e-2 * district + 1e-1 * logistics)')} as total from p")
-def r1_r6_a13_scores(spark, d):
-    """The five scores and their weighted total, from stand-ins of the measures that a route plan gives."""
-    g = aggregates(steps(spark, d))
-    c = F.col
-    km, rate, gap, walk, gain = c("length_m") / 1000 * 20, c("dark_m") / 100, c("dark_m") / 1000 * 8, 400 + c("dark_m"), 5 + c("dark_m") / 10
-    off = F.when(km < 5, 5 - km).otherwise(km - 8)
-    parts = {
-        "shape": 0.5 * (1 - c("retrace")) + 0.2 * band(c("dark_m"), 30, 400) + 0.15 * band(c("retrace"), 0.05, 0.4) + 0.15 * band(c("length_m") / 25, 40, 12),
-        "safety": 0.45 * c("safety_raw") + 0.25 * band(rate, 1.5, 4) + 0.2 * F.least(F.lit(1.0), c("greenway") / 0.35) + 0.1 * band(c("dark_m") / 100, 0, 6),
-        "distance": 0.7 * F.when(km.between(5, 8), 1.0).otherwise(band(off, 0, 3)) + 0.3 * band(gain, 5 * km, 15 * km + 30),
-        "district": 0.4 * band(F.abs(c("greenway") - 0.5), 0, 0.9) + 0.35 * F.least(F.lit(1.0), c("greenway") / 0.3) + 0.25 * band(F.abs(F.least(F.floor(rate).cast("double"), F.lit(3.0)) - 3), 0, 3),
-        "logistics": 0.55 * band(walk, 400, 1500) + 0.45 * band(gap, 3, 6),
-    }
-    total = 100 * sum(w * parts[k] for k, w in (("shape", 0.3), ("safety", 0.25), ("distance", 0.2), ("district", 0.15), ("logistics", 0.1)))
-    return g.select("route", *(milli(v).alias(k) for k, v in parts.items()), milli(total).alias("total"))
-
-
 @query(_AGG + f", b as (select *, length_m / 250 as km from g) select route, km between 3 and 6 as fits, {_MILLI('46e-2 * (1 - retrace) + 16e-2 * safety_raw + 8e-2 * (1 - least(1e0, 25e-1 * retrace)) + 12e-2 + 1e-1 + 8e-2 * greenway')} as q from b")
 def g7_p10_quick_score(spark, d):
     """The quick score of a candidate and whether its length lies in the band."""
