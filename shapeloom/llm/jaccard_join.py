@@ -39,6 +39,8 @@ _U = np.uint64
 BLOCK, GROUP, HUBS, GUESTS = 128, 8, 8, 1024
 #: Visits for each document of a cluster from which lone tokens are counted.
 CROWDED = 4
+#: Values that meet in one bucket, about: a bound of a task's memory at every size of the corpus.
+PER_BUCKET = 500_000
 
 
 def token_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -253,7 +255,9 @@ def _lone(table: pa.Table) -> pa.Table:
 
 def _weighed(docs: DataFrame, sets: DataFrame, members: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(doc_id, heavy, apart) of those ``members`` (doc_id, cluster) whose lone tokens bound their links."""
-    packed = docs.join(members, "doc_id").select("doc_id", "cluster", "text").mapInArrow(partial(_cluster_tokens, shingle, shuffle_partitions(docs.sparkSession)), "bucket int, sig binary, doc binary")
+    tokens = members.join(sets, "doc_id").agg(F.sum("n")).first()[0] or 0
+    buckets = max(shuffle_partitions(docs.sparkSession), tokens // PER_BUCKET)
+    packed = docs.join(members, "doc_id").select("doc_id", "cluster", "text").mapInArrow(partial(_cluster_tokens, shingle, buckets), "bucket int, sig binary, doc binary")
     lone = packed.groupBy("bucket").applyInArrow(_lone, "doc long, lone long").groupBy(F.col("doc").alias("doc_id")).agg(F.sum("lone").alias("lone"))
     # an id with several rows may stand for several sets: nothing is known of it
     single = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n").alias("n")).where("rows = 1")
@@ -300,7 +304,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     docs = id_and_text(docs, id_col, text_col)
     sets = written(docs.mapInArrow(partial(_summaries, shingle), "doc_id long, n long, h1 long, h2 long"), "sets")
     reps = written(sets.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    packed = docs.mapInArrow(partial(_signatures, shingle, num, den, shuffle_partitions(spark)), "bucket int, sig binary, doc binary")
+    # a set's signatures: parts of two schemes, of which about a quarter are spare
+    tokens = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), int(2.5 * tokens * (den - num) / num) // PER_BUCKET)
+    packed = docs.mapInArrow(partial(_signatures, shingle, num, den, buckets), "bucket int, sig binary, doc binary")
     meetings = packed.groupBy("bucket").applyInArrow(_meet, "doc long, pivot long")
     meetings = written(meetings.distinct(), "meetings")
     home = written(_blocks(reps, connected_components(meetings, "doc", "pivot"), num, den), "blocks")
