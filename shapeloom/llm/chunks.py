@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.llm import kernels as K
-from shapeloom.llm.common import written
+from shapeloom.llm.common import shuffle_partitions, written
 
+#: Bytes of text in a chunk, about, and chunks whose values a bucket holds.
+CHUNK, CHUNKS_PER_BUCKET = 3_000_000, 6
 SCHEMA = "chunk long, ids binary, flags binary, sizes binary, body binary"
 
 
@@ -28,7 +30,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for batch in batches:
         ids, texts, flags = batch.column(0), batch.column(1), batch.column(2)
-        for a, b in K.slices(texts):
+        for a, b in K.slices(texts, CHUNK):
             body, offsets = K.text_bytes(texts[a:b])
             known = ids[a:b].is_valid().to_numpy(zero_copy_only=False)
             own = ids[a:b].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -44,6 +46,11 @@ def chunked(docs: DataFrame, flag=None) -> DataFrame:
     return written(docs.select("doc_id", "text", F.coalesce(flag, F.lit(0)).cast("int").alias("flag")).mapInArrow(pack, SCHEMA), "chunks")
 
 
+def bucket_count(chunks: DataFrame) -> int:
+    """Buckets of a hash partitioning of the chunks' values: a bucket's share is bounded at every size of the corpus."""
+    return max(shuffle_partitions(chunks.sparkSession), -(-chunks.count() // CHUNKS_PER_BUCKET))
+
+
 class Chunk:
     """One chunk, unpacked: ids, known (false where the id was null), flags, body, offsets."""
 

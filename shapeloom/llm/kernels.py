@@ -21,7 +21,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are worked on in slices of about so many bytes; a longer text is a slice of its own.
-SLICE = 3_000_000
+SLICE = 1_200_000
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -44,7 +44,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, _U)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        if size > 4 * SLICE:
+        if size > 8 * SLICE:
             return made[0], made[1]
         _powers[base] = (made[0], made[1])
     return _powers[base]
@@ -59,12 +59,12 @@ def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray)
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE bytes of text each."""
+def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text each."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
     at, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > at and total + size > SLICE:
+        if i > at and total + size > most:
             yield at, i
             at, total = i, 0
         total += size

@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import StructType
 
 from shapeloom.llm.common import discard, written
 
@@ -99,36 +98,32 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return total.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
-def _predict(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int, passed: tuple[str, ...], text_col: str):
-    def run(batches):
-        for batch in batches:
-            preds, scores = [], []
-            for text in batch.column(1).to_pylist():
-                found = ngrams(text)
-                if not len(found) or not langs:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                own, counts = _counted(found)
-                if len(own) > size:
-                    # the most frequent, ties by code
-                    least = np.partition(counts, len(counts) - size)[len(counts) - size]
-                    keep = counts >= least
-                    own, counts = own[keep], counts[keep]
-                top = own[np.argsort(-counts, kind="stable")[:size]]
-                at = np.minimum(np.searchsorted(grams, top), len(grams) - 1)
-                theirs = np.where((grams[at] == top)[:, None], ranks[at], size)
-                place = np.arange(len(top))[:, None]
-                apart = np.where(theirs == size, size, np.abs(theirs - place)).sum(axis=0)
-                best = int(np.argmin(apart))
-                preds.append(langs[best])
-                scores.append(float(1.0 - apart[best] / (size * len(top))))
-            columns = [batch.column(0), batch.column(2), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-            names = ["doc_id", "held_out", "lang_pred", "score"]
-            for name in passed:
-                names.append(name)
-                columns.append(batch.column(1 if name == text_col else batch.schema.names.index(name, 3)))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def _predict(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int):
+    """A function from texts to structs of lang_pred and score. Only texts go to Python; other columns stay where they are."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        preds, scores = [], []
+        for scalar in texts:
+            found = ngrams(scalar.as_py())
+            if not len(found) or not langs:
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            own, counts = _counted(found)
+            if len(own) > size:
+                # the most frequent, ties by code
+                least = np.partition(counts, len(counts) - size)[len(counts) - size]
+                keep = counts >= least
+                own, counts = own[keep], counts[keep]
+            top = own[np.argsort(-counts, kind="stable")[:size]]
+            at = np.minimum(np.searchsorted(grams, top), len(grams) - 1)
+            theirs = np.where((grams[at] == top)[:, None], ranks[at], size)
+            place = np.arange(len(top))[:, None]
+            apart = np.where(theirs == size, size, np.abs(theirs - place)).sum(axis=0)
+            best = int(np.argmin(apart))
+            preds.append(langs[best])
+            scores.append(float(1.0 - apart[best] / (size * len(top))))
+        return pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return run
 
@@ -159,6 +154,6 @@ def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0, size: int
     for k, lang in enumerate(langs):
         own = profile[profile["lang"] == lang]
         ranks[np.searchsorted(grams, own["gram"].to_numpy(np.int64)), k] = own["rank"].to_numpy(np.int64)
-    schema = StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
-    kept = docs.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep)).schema.fields
-    return rows.mapInArrow(_predict(langs, grams, ranks, size, keep, text_col), StructType([*schema.fields, *kept]))
+    predict = F.arrow_udf(_predict(langs, grams, ranks, size), "struct<lang_pred:string,score:double>")
+    found = docs.select(doc_id.alias("doc_id"), fold.alias("held_out"), predict(text).alias("found"), *keep)
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", *keep)

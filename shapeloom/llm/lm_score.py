@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.llm import kernels as K
-from shapeloom.llm.chunks import Chunk, bucket_of, by_bucket, chunked
-from shapeloom.llm.common import id_and_text, shuffle_partitions, written
+from shapeloom.llm.chunks import Chunk, bucket_count, bucket_of, by_bucket, chunked
+from shapeloom.llm.common import id_and_text, written
 
 _U = np.uint64
 #: Hashes of the token that ends a text and of the context that begins one.
@@ -222,10 +222,10 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, id_col:
     scored. Rows that repeat an id all count. Without training tokens every count is 0 and each estimate uniform.
     Other columns are not read. No rows give no rows.
     """
-    spark, buckets = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold).cast("int")
     chunks = chunked(rows, out)
+    buckets = bucket_count(chunks)
     asked = chunks.mapInArrow(_ask(buckets), "bucket int, chunk long, kind int, asked binary, counts binary")
     answers = written(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, kind int, counts binary, tokens long, types long"), "counts")
     size = answers.where("chunk = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shapeloom.llm import kernels as K
-from shapeloom.llm.chunks import Chunk, bucket_of, by_bucket, chunked
-from shapeloom.llm.common import id_and_text, shuffle_partitions
+from shapeloom.llm.chunks import Chunk, bucket_count, bucket_of, by_bucket, chunked
+from shapeloom.llm.common import id_and_text
 
 _U = np.uint64
 #: A probe is sent as 30 bits of its hash beside its bucket, and two marks. A false hit only adds windows to compare.
@@ -187,8 +187,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
-    buckets = shuffle_partitions(docs.sparkSession)
     chunks = chunked(id_and_text(docs, id_col, text_col))
+    buckets = bucket_count(chunks)
     by_chunk = chunks.groupBy("chunk")
     blocks = chunks.mapInArrow(_ask_blocks(window, buckets), "bucket int, chunk long, asked binary")
     hits = blocks.groupBy("bucket").applyInArrow(_answer_blocks, "chunk long, bucket int, said0 binary")
