@@ -16,7 +16,7 @@ from pyspark.sql import Window
 from shapeloom.llm.common import discard, written
 
 #: N-grams of a profile; n-grams up to so many letters; distinct n-grams that a task gathers before it sends them on.
-PROFILE, ORDER, FLUSH = 400, 3, 1_000_000
+PROFILE, ORDER, FLUSH = 400, 3, 250_000
 #: Languages whose profiles fit into a task.
 LANGUAGES = 2000
 _tables: dict[str, np.ndarray] = {}
@@ -71,10 +71,10 @@ def _learn(batches):
 
     for batch in batches:
         waiting: dict[str, list] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             own = waiting.setdefault(lang, [])
-            own.append(ngrams(text))
-            if sum(map(len, own[-64:])) > 1_500_000 or len(own) >= 64:
+            own.append(ngrams(text.as_py()))
+            if sum(map(len, own[-64:])) > 500_000 or len(own) >= 64:
                 held.setdefault(lang, []).append(_counted(np.concatenate(own)))
                 own.clear()
         for lang, own in waiting.items():
@@ -154,6 +154,7 @@ def identify(docs: DataFrame, folds: int = 5, held_out_fold: int = 0, size: int
     for k, lang in enumerate(langs):
         own = profile[profile["lang"] == lang]
         ranks[np.searchsorted(grams, own["gram"].to_numpy(np.int64)), k] = own["rank"].to_numpy(np.int64)
-    predict = F.arrow_udf(_predict(langs, grams, ranks, size), "struct<lang_pred:string,score:double>")
+    # called once a row: without this, a filter on the result would have it made once more before the filter
+    predict = F.arrow_udf(_predict(langs, grams, ranks, size), "struct<lang_pred:string,score:double>").asNondeterministic()
     found = docs.select(doc_id.alias("doc_id"), fold.alias("held_out"), predict(text).alias("found"), *keep)
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", *keep)
