@@ -67,6 +67,7 @@ def _summaries(shingle: int, batches):
             sums = [(int(K.mix(s).sum(dtype=_U)) if len(s) else 0, int(np.bitwise_xor.reduce(K.mix(s + _U(0x5851F42D4C957F2D)))) if len(s) else 0) for s in sets]
             signed = [np.array([x[k] for x in sums], _U).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(signed[0]), pa.array(signed[1])], names=["doc_id", "n", "h1", "h2"])
+    K.tidy()
 
 
 def size_classes(num: int, den: int, most: int) -> np.ndarray:
@@ -139,6 +140,7 @@ def _signatures(shingle: int, num: int, den: int, buckets: int, batches):
             if pairs.size:
                 rows.append((-1 - int(pairs[0, 0]) % buckets, pairs[1].tobytes(), pairs[0].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "sig", "doc"])
+    K.tidy()
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -154,6 +156,8 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         needed = np.repeat(np.bitwise_or.reduceat(sig & _U(1), begin), size) > 0
         pairs = np.stack([doc, np.repeat(doc[begin], size)])[:, needed]
     pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+    del sig, doc
+    K.tidy()
     return pa.table({"doc": pa.array(pairs[0]), "pivot": pa.array(pairs[1])})
 
 
@@ -210,6 +214,9 @@ def _open_groups(shingle: int, num: int, den: int, visitors_only: bool, table: p
                     joined.join(q, m)
                     links.append((ids[q], ids[m]))
         mark[own[q]] = False
+    if table.nbytes > 1 << 20:
+        del sets, own, vocabulary, token, matrix
+        K.tidy()
     return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
 

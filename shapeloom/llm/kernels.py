@@ -6,12 +6,17 @@ an n-gram's hash is the same over word hashes. Both are mixed afterwards.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:  # no such library to be found on this system
+    _LIBC = None
 _M_BYTE, _M_WORD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -25,6 +30,13 @@ SLICE = 1_200_000
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, so that a worker that is used again begins small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> _U(30))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from shapeloom.llm import kernels as K
 from shapeloom.llm.common import discard, written
 
 #: N-grams of a profile; n-grams up to so many letters; distinct n-grams that a task gathers before it sends them on.
@@ -88,6 +89,7 @@ def _learn(batches):
                 yield out(lang)
     for lang in list(held):
         yield out(lang)
+    K.tidy()
 
 
 def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -123,6 +125,7 @@ def _predict(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int):
             best = int(np.argmin(apart))
             preds.append(langs[best])
             scores.append(float(1.0 - apart[best] / (size * len(top))))
+        K.tidy()
         return pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return run
