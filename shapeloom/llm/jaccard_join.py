@@ -2,11 +2,14 @@
 
 1. Equal sets are one class; only the document with the smallest id stands for it.
 2. Similar documents are partitioned into groups. Two sets with a Jaccard similarity of t differ in at most
-   (1/t - 1) of the smaller one's tokens. A set's tokens are dealt by hash into one part more than that number and
-   some spare ones, so two linked sets agree in more parts than there are spare ones. A set with no more empty parts
-   than spare ones therefore agrees with each partner in a part that holds tokens, and its empty parts, in which it
-   would agree with many strangers, are left out. Documents that share a part meet in a cluster; no link leaves a
-   cluster. Clusters are cut into blocks of a bounded number of documents.
+   (1/t - 1) of the smaller one's tokens. A set's tokens are dealt by hash into twice as many parts as one more than
+   that number, so two linked sets agree in more than half of all parts. Parts have an order by their tokens alone:
+   first those with a rare token, then those with many tokens, empty ones last. A set keeps the first half of its
+   parts. The first part in which two linked sets agree is in either one's half, since all others in which they agree
+   come after it. So parts of common passages, in which a set would agree with many strangers, are left out. How
+   common a token is, a table of fixed size tells, which counts tokens that documents near each other share; it
+   decides how many strangers meet, and never which links are found. Documents that share a part meet in a cluster; no
+   link leaves a cluster. Clusters are cut into blocks of a bounded number of documents.
 3. In a block, groups of documents keep the union of their tokens (the token-group matrix). The overlap of a query
    document with a group's union bounds its overlap with every member; only groups that reach the bound are opened,
    and their members are compared exactly.
@@ -21,8 +24,8 @@
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache, partial
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ BLOCK, GROUP, HUBS, GUESTS = 128, 8, 8, 1024
 CROWDED = 4
 #: Values that meet in one bucket, about: a bound of a task's memory at every size of the corpus.
 PER_BUCKET = 500_000
+#: The table of common tokens: entries, entries of a chunk of it, and tokens among which a task looks for shared ones.
+ENTRIES, CHUNK, WINDOW = 1 << 22, 1 << 16, 1 << 21
 
 
 def token_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -78,38 +83,100 @@ def size_classes(num: int, den: int, most: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-@lru_cache(4096)
-def parts_of(least: int, beyond: int, num: int, den: int) -> tuple[int, int]:
-    """Parts, and how many of them are spare, for pairs whose smaller set has from ``least`` to below ``beyond`` tokens.
+def parts_of(beyond: int, num: int, den: int) -> int:
+    """Parts of sets where linked pairs have a smaller set of below ``beyond`` tokens; half of them are kept."""
+    return 2 * ((beyond - 1) * (den - num) // num + 1)
 
-    There are as many spare parts as the smallest sets have empty ones, but for rare sets (three deviations). Where so
-    few tokens go to so many parts that no number is enough, the one that comes nearest is taken.
+
+def _entry(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _U(20) & _U(ENTRIES - 1)).astype(np.int64)
+
+
+def _shared_tokens(shingle: int, batches):
+    """Rows (chunk, at, count) of packed values: how many documents hold the tokens that documents of a window share."""
+    count = np.zeros(ENTRIES, np.uint32)
+    held, n = [], 0
+
+    def close() -> None:
+        tokens = np.concatenate(held)
+        tokens.sort()
+        begin, size = K.groups_of(tokens)
+        np.add.at(count, _entry(tokens[begin[size > 1]]), size[size > 1].astype(np.uint32))
+
+    for batch in batches:
+        for a, b in K.slices(batch.column(0)):
+            sets = token_sets(batch.column(0)[a:b], shingle)
+            held.append(np.concatenate(sets))
+            n += len(held[-1])
+            if n >= WINDOW:
+                close()
+                held, n = [], 0
+    if n:
+        close()
+    rows = []
+    for k in range(ENTRIES // CHUNK):
+        part = count[k * CHUNK : (k + 1) * CHUNK]
+        at = np.flatnonzero(part)
+        if len(at):
+            rows.append((k, at.astype(np.uint16).tobytes(), part[at].tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "at", "count"])
+    held.clear()
+    K.tidy()
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The counts of one chunk, added up row by row."""
+    total = np.zeros(CHUNK, np.uint64)
+    for batch in batches:
+        for at, count in zip(batch.column("at"), batch.column("count"), strict=True):
+            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(count.as_py(), np.uint32)
+    return np.minimum(total, _U(0xFFFFFFFF))
+
+
+def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one chunk from some tasks as one row."""
+    total = _summed(batches)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[at].astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "at", "count"])
+
+
+def _levels(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk of the table: for each entry the number of binary digits of its count."""
+    level = np.frexp(_summed(batches).astype(np.float64))[1].astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
+
+
+def common_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How common tokens are, by the entry that a token falls to: 0 for those that no documents of a window share.
+
+    All documents are read. The driver receives ENTRIES bytes (4 MB), at any size of the corpus.
     """
-    differ = (beyond - 1) * (den - num) // num
-    found, nearest = 0, -math.inf
-    for spare in range(differ + 4):
-        parts = differ + 1 + spare
-        empty = parts * math.exp(-least / parts)
-        margin = (spare - empty) / math.sqrt(empty + 1e-9)
-        if margin > nearest:
-            found, nearest = spare, margin
-        if margin >= 3:
-            break
-    return differ + 1 + found, found
-
-
-def _part_signatures(tokens: np.ndarray, c: int, parts: int, spare: int) -> np.ndarray:
-    """A hash of the tokens in each part. Parts without tokens have one too where there are more of them than spare ones."""
+    rows = "chunk int, at binary, count binary"
+    shared = docs.select("text").mapInArrow(partial(_shared_tokens, shingle), rows)
+    # the rows of 256 tasks are added up at a time, so that a chunk's last task reads few rows
+    shared = shared.groupBy("chunk", F.expr("spark_partition_id() div 256").alias("salt")).applyInArrow(_added, rows)
+    table = np.zeros(ENTRIES, np.uint8)
+    for row in shared.groupBy("chunk").applyInArrow(_levels, "chunk int, level binary").collect():
+        table[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.level, np.uint8)
+    return table
+
+
+def _part_signatures(tokens: np.ndarray, level: np.ndarray, c: int, parts: int) -> np.ndarray:
+    """A hash of the tokens in each of the first half of the parts: by their rarest token, then by number of tokens."""
     mixed = K.mix(tokens + _U(0x94D049BB133111EB))
     part = (mixed % _U(parts)).astype(np.int64)
     low = np.bincount(part, (mixed >> _U(8) & _U(0xFFFFFFF)).astype(np.float64), parts).astype(_U)
     high = np.bincount(part, (mixed >> _U(36)).astype(np.float64), parts).astype(_U)
     own = K.mix((high * _U(0x9E3779B97F4A7C15)) ^ (low * _U(0xC2B2AE3D27D4EB4F)) ^ K.mix(np.arange(parts, dtype=_U) + _U(c << 32)))
-    filled = np.bincount(part, minlength=parts) > 0
-    return own[filled] if parts - np.count_nonzero(filled) <= spare else own
+    rarest = np.full(parts, 255, np.uint8)
+    np.minimum.at(rarest, part, level)
+    many = np.minimum(np.bincount(part, minlength=parts), 255)
+    order = (_U(255) - rarest.astype(_U)) << _U(56) | many.astype(_U) << _U(48) | own >> _U(16)
+    return own[np.argpartition(order, parts // 2)[parts // 2 :]]
 
 
-def _signatures(shingle: int, num: int, den: int, buckets: int, batches):
+def _signatures(shingle: int, num: int, den: int, buckets: int, common, batches):
     """Rows (bucket, sig, doc) of packed values; in bucket -1 pairs of documents that share a part in this slice."""
     for batch in batches:
         for a, b in K.slices(batch.column(1)):
@@ -120,9 +187,10 @@ def _signatures(shingle: int, num: int, den: int, buckets: int, batches):
                 if i is None or len(tokens) * (den - num) < num:
                     continue  # nothing but an equal set can be linked
                 c = int(np.searchsorted(bounds, len(tokens), "right")) - 1
+                level = common.value[_entry(tokens)]
                 for k in {c, max(c - 1, 0)}:
                     # the lowest bit: the set is of the smaller class of this scheme. Pairs without such a set meet in the next scheme
-                    own = _part_signatures(tokens, k, *parts_of(int(bounds[k]), int(bounds[k + 1]), num, den))
+                    own = _part_signatures(tokens, level, k, parts_of(int(bounds[k + 1]), num, den))
                     sigs.append(own & ~_U(1) | _U(k == c))
                     docs.append(np.full(len(own), i, np.int64))
             if not sigs:
@@ -311,10 +379,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     docs = id_and_text(docs, id_col, text_col)
     sets = written(docs.mapInArrow(partial(_summaries, shingle), "doc_id long, n long, h1 long, h2 long"), "sets")
     reps = written(sets.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    # a set's signatures: parts of two schemes, of which about a quarter are spare
+    # a set's signatures: half of the parts of two schemes
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(2.5 * tokens * (den - num) / num) // PER_BUCKET)
-    packed = docs.mapInArrow(partial(_signatures, shingle, num, den, buckets), "bucket int, sig binary, doc binary")
+    common = spark.sparkContext.broadcast(common_tokens(docs, shingle))
+    packed = docs.mapInArrow(partial(_signatures, shingle, num, den, buckets, common), "bucket int, sig binary, doc binary")
     meetings = packed.groupBy("bucket").applyInArrow(_meet, "doc long, pivot long")
     meetings = written(meetings.distinct(), "meetings")
     home = written(_blocks(reps, connected_components(meetings, "doc", "pivot"), num, den), "blocks")
@@ -327,6 +396,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     seats = home.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False))).withColumn("label", F.col("doc_id"))
     links = first = written(_links(docs, seats, shingle, num, den, False), "joined")
     discard(meetings)
+    common.unpersist()
     passing = [home, first]
     if not places.isEmpty():
         parts = connected_components(links, "u", "v")

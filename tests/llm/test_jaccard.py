@@ -111,3 +111,32 @@ def test_every_link_of_random_sets(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
         got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, shingle, num, 100).collect()}
         assert got == plain(texts, shingle, num), (shingle, num)
+
+
+def test_documents_of_a_common_passage_do_not_meet(spark, monkeypatch):
+    """800 documents that are half a common passage, of which ten have a near copy: only the copies' originals meet."""
+    rng, met = random.Random(5), []
+    passage = [f"p{k}" for k in range(150)]
+    texts = [" ".join([f"o{rng.randrange(10**9)}" for _ in range(150)] + passage) for _ in range(800)]
+    texts += [texts[i] + " more" for i in range(0, 800, 80)]
+    write = jaccard_join.written
+
+    def spy(table, label):
+        made = write(table, label)
+        if label == "meetings":
+            met.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == plain(texts, 5, 80) and len(set(got.values())) == 800 and met[0] < 20
+
+
+def test_common_tokens_reads_all_documents(spark):
+    """Tokens that documents share have their count's digits; others have 0. Nulls, empty texts and no rows do no harm."""
+    texts = ["a b c d e"] * 5 + ["f g h i j", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    table = jaccard_join.common_tokens(docs, 5)
+    assert len(table) == jaccard_join.ENTRIES and table.sum() == 3 == table.max()
+    assert jaccard_join.common_tokens(docs.limit(0), 5).sum() == 0
