@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from shapeloom.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, lm_score, packing, pii, quality, substring_dedup
+from shapeloom.llm import chat_format, decontaminate, fingerprint, hard_negatives, jaccard_join, language_id, lm_score, packing, pii, quality, sentencepiece_codec, substring_dedup, vector_codes
 
 #: The tokenizer's file, and the key of the pseudonyms, which an owner of real data replaces by a secret.
 TOKENIZER, PII_KEY = public_tokenizers.path("byte_bpe_50k.json"), b"shapeloom example key"
+#: The SentencePiece model's file.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,25 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(_table(spark, sf_dir, "documents"), 7, 2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    changed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=changed)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), PIECES)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_fingerprint, op3_quality, op4_substring_dedup, op5_language_id, op6_packing, op7_pii, op8_decontaminate, op9_jaccard_join, op10_lm_score)
+    for f in (
+        op1_chat_format, op2_fingerprint, op3_quality, op4_substring_dedup, op5_language_id, op6_packing, op7_pii, op8_decontaminate, op9_jaccard_join, op10_lm_score, op11_hard_negatives,
+        op12_sentencepiece, op13_vector_codes,
+    )
 }
