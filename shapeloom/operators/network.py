@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.functions.geo import haversine
+from shapeloom.functions.geo import RADIUS, haversine
 from shapeloom.operators.components import connected_components
 from shapeloom.operators.staging import discard, written
 from shapeloom.plans.fixtures import SAFETY
@@ -16,8 +17,10 @@ from shapeloom.plans.fixtures import SAFETY
 # Classes that runners may not use, and words that name a greenway.
 EXCLUDED = ("motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed", "raceway", "bus_guideway", "escape")
 GREENWAY_HINTS = ("園道", "綠道", "步道", "自行車道", "河濱", "堤防", "草悟道", "美術園道", "柳川", "綠川", "筏子溪", "旱溪")
-#: Metres of a degree in the plane of the spatial index.
+#: Metres of a degree of latitude, for placing points of a grid of shapes.
 METRES = 111319.49
+#: Share by which cells are larger than they need to be, against rounding.
+SLACK = 1e-6
 #: Edges of a cell in which one task relaxes costs.
 PER_CELL = 50_000
 
@@ -72,21 +75,49 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(label.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
 
 
-def cells(df: DataFrame, lat: str, lon: str, metres: float, ring: int = 0) -> DataFrame:
-    """Adds cell columns cy, cx of a grid; with a ring, one row for each cell around as well. The width of a cell in
-    longitude is taken at 24 degrees, a bound of the region, and is wide enough north of it."""
-    size = metres / METRES
-    cy, cx = F.floor(F.col(lat) / size), F.floor(F.col(lon) / (size / 0.9))
-    if not ring:
-        return df.withColumn("cy", cy).withColumn("cx", cx)
-    around = F.sequence(F.lit(-ring), F.lit(ring))
-    return df.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).withColumn("cy", cy + F.col("dy")).withColumn("cx", cx + F.col("dx")).drop("dy", "dx")
+def _columns(cy: Column, metres: float) -> Column:
+    """Cells of a band of the grid, around the earth: none is narrower than ``metres``, in its own band or beside it."""
+    angle = math.sin(min(metres / (2 * RADIUS), math.pi / 2))
+    # the latitude farthest from the equator among the band and its neighbours
+    far = (F.abs(cy + 0.5) + 1.5) * _height(metres)
+    ratio = angle / F.cos(F.radians(far))
+    return F.when((far < 90) & (ratio < 1), F.greatest(F.floor(math.pi / (F.asin(ratio) * (1 + SLACK))), F.lit(1))).otherwise(F.lit(1)).cast("long")
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, names=("lat", "lon", "rlat", "rlon")) -> DataFrame:
-    """Pairs of points at most so far apart: an equi-join on grid cells, then the exact distance ``d``."""
-    pairs = cells(left, names[0], names[1], metres, 1).join(cells(right, names[2], names[3], metres), ["cy", "cx"])
-    return pairs.withColumn("d", haversine(*names)).where(F.col("d") <= metres).drop("cy", "cx")
+def _height(metres: float) -> float:
+    """Degrees of latitude of a cell."""
+    return math.degrees(metres / RADIUS) * (1 + SLACK)
+
+
+def _cell(cy: Column, lon: Column, metres: float, dx: int = 0) -> Column:
+    count = _columns(cy, metres)
+    own = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * count / 360.0)
+    return F.struct(cy.alias("cy"), F.pmod(own + dx, count).alias("cx"))
+
+
+def own_cell(lat: Column, lon: Column, metres: float) -> Column:
+    """(cy, cx): the cell of a point in a grid that suits distances of so many metres, at every latitude and longitude."""
+    return _cell(F.floor(lat / _height(metres)), lon, metres)
+
+
+def cells_around(lat: Column, lon: Column, metres: float) -> Column:
+    """An array of (cy, cx): all cells that hold points at most so many metres from a point, its own included.
+
+    Bands of cells have widths of their own, so that a cell is as wide as the distance anywhere between the poles;
+    near a pole a band is one cell. Columns are counted around the earth, so 180 and -180 degrees meet.
+    """
+    cy = F.floor(lat / _height(metres))
+    return F.array_distinct(F.array(*(_cell(cy + dy, lon, metres, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
+
+
+def within(left: DataFrame, right: DataFrame, metres: float, names=("lat", "lon", "rlat", "rlon"), spread: str = "left") -> DataFrame:
+    """Pairs of points at most so far apart: an equi-join on grid cells, then the exact distance ``d``.
+
+    ``spread`` names the side whose rows are dealt to the cells around them: the smaller one.
+    """
+    deal = lambda df, lat, lon, side: df.withColumn("cell", F.explode(cells_around(F.col(lat), F.col(lon), metres)) if side == spread else own_cell(F.col(lat), F.col(lon), metres))
+    pairs = deal(left, *names[:2], "left").join(deal(right, *names[2:], "right"), "cell")
+    return pairs.withColumn("d", haversine(*names)).where(F.col("d") <= metres).drop("cell")
 
 
 def nearest(points: DataFrame, key: str, nodes: DataFrame, reach: float) -> DataFrame:

@@ -263,7 +263,7 @@ def along(points: DataFrame, poi: DataFrame, metres: float) -> DataFrame:
 
     points: (key, i, lat, lon, before_m) of all vertices but the last; of equally near ones the first counts.
     """
-    near = within(points, poi.select("ord", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")), metres)
+    near = within(points, poi.select("ord", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")), metres, spread="right")
     best = near.groupBy("key", "ord").agg(F.min(F.struct("d", "i", "before_m")).alias("m"))
     return best.select("key", "ord", "m.d", F.col("m.before_m").alias("at_m"))
 
