@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shapeloom.functions.geo import RADIUS, haversine
 from shapeloom.operators.components import connected_components
 from shapeloom.operators.staging import discard, written
-from shapeloom.plans.fixtures import SAFETY
+from shapeloom.plans.fixtures import GREEN, SAFETY
 
 # Classes that runners may not use, and words that name a greenway.
 EXCLUDED = ("motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed", "raceway", "bus_guideway", "escape")

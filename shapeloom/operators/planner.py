@@ -1,27 +1,28 @@
 """Routes that follow a shape on a road network: placing, snapping, routing, measuring and searching.
 
 Every step treats all candidates of a round at once. A candidate is a row (key, shape, clat, clon, size_m, rot); its
-control points meet the network by grid cells, the legs between them are routed in cells of the map, each with the
-roads around it, and all measures are joins and aggregates over the steps of all routes.
+control points meet the network by grid cells, the legs between them are routed by ``paths``, and all measures are joins
+and aggregates over the steps of all routes.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.geo import band, enu_inverse, haversine
+from shapeloom.functions.geo import enu_inverse, haversine
 from shapeloom.operators import folds, outline
-from shapeloom.operators.network import METRES, nearest, within
+from shapeloom.operators.network import nearest, within
+from shapeloom.operators.paths import Network, route_legs
 from shapeloom.operators.staging import discard, written
 
-#: Farthest mean and single distance of control points from the network, and metres of a leg that count as a detour.
+# Farthest mean and single distance of control points from the network; metres of a leg that count as a
+# detour; weights of the quick score; where its parts for snapping, detours and tilt begin and how far they reach; the
+# climb's first steps of centre, rotation and size, what a round without gain leaves of them, and where it ends.
 MEAN_SNAP, MAX_SNAP, LEG = 260.0, 416.0, 25.0
-#: Sides of the map cells in which legs are routed, one level after another; roads as far around belong to a cell.
-CELLS = (1_500.0, 6_000.0, 24_000.0)
+WEIGHTS = {"fidelity": 0.46, "safety": 0.16, "retrace": 0.08, "snap": 0.12, "detour": 0.10, "tilt": 0.08}
+SNAP_REACH, DETOUR, DETOUR_REACH, TILT, TILT_REACH, RETRACE = 160.0, 1.3, 1.7, 25.0, 35.0, 2.5
+STEPS, LESS, ENOUGH = (260.0, 6.0, 0.10), (0.55, 0.6, 0.6), 40.0
 PLACE = ["clat", "clon", "size_m", "rot"]
 
 
@@ -64,91 +65,18 @@ def snap(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return good.where(F.size("stops") >= 4).select("key", ring.alias("stops"), "snap_mean")
 
 
-def _paths(margin: float):
-    """Cheapest paths of one cell's legs over its roads; settled: no path that leaves the roads can be cheaper."""
-
-    def run(legs: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        ahead: dict[int, list[tuple[int, float, float]]] = {}
-        for a, b, cost, length in zip(roads["a"].tolist(), roads["b"].tolist(), roads["cost"].tolist(), roads["length"].tolist(), strict=True):
-            ahead.setdefault(a, []).append((b, cost, length))
-            ahead.setdefault(b, []).append((a, cost, length))
-        rows = []
-        for source, own in legs.groupby("a", sort=False):
-            source, wanted = int(source), dict(zip(own["b"].tolist(), own["straight"].tolist(), strict=True))
-            best, before, done = {source: (0.0, 0.0)}, {}, set()
-            heap, open_ = [(0.0, source)], set(wanted)
-            # beyond this cost a path might leave the roads
-            limit = max(2 * margin - s for s in wanted.values())
-            while heap and open_:
-                cost, u = heapq.heappop(heap)
-                if u in done:
-                    continue
-                done.add(u)
-                open_.discard(u)
-                if cost > limit:
-                    break
-                for v, more, length in ahead.get(u, ()):
-                    if v not in best or cost + more < best[v][0]:
-                        best[v], before[v] = (cost + more, best[u][1] + length), u
-                        heapq.heappush(heap, (cost + more, v))
-            for target, straight in wanted.items():
-                if target in done and best[target][0] <= 2 * margin - straight:
-                    path = [target]
-                    while path[-1] != source:
-                        path.append(before[path[-1]])
-                    rows.append((source, target, best[target][0], best[target][1], path[::-1]))
-        frame = pd.DataFrame(rows, columns=["a", "b", "cost", "metres", "path"])
-        return frame.astype({"a": "int64", "b": "int64", "cost": "float64", "metres": "float64"})
-
-    return run
-
-
-def route_legs(pairs: DataFrame, roads: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, cost, metres, path): the cheapest path of each pair of nodes, routed in cells of the map.
-
-    roads: (a, b, length, cost), one row for each pair of nodes, with a cost of at least the length. A cell holds the
-    legs that begin in it and the roads up to one side around it. A path that is cheaper than any detour over the
-    border can be is final; other pairs go to larger cells. A pair without a path within the largest cells is left out.
-    """
-    where = nodes.select(F.col("id"), "lat", "lon")
-    a, b = (where.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon")) for x in "ab")
-    left = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("straight", haversine("alat", "alon", "blat", "blon"))
-    left = written(left, "legs")
-    placed = written(roads.join(a, "a").join(b, "b"), "roads")
-    found, passing = None, [left, placed]
-    for side in CELLS:
-        row, column = (lambda c: F.floor(F.col(c) * (METRES / side))), (lambda c: F.floor(F.col(c) * (METRES * 0.9 / side)))
-        fits = left.where(F.col("straight") <= side).select("a", "b", "straight", row("alat").alias("cy"), column("alon").alias("cx"))
-        around = F.array(*(F.struct((row(f"{x}lat") + dy).alias("cy"), (column(f"{x}lon") + dx).alias("cx")) for x in "ab" for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-        busy = F.broadcast(fits.select("cy", "cx").distinct())
-        near = placed.select("a", "b", "length", "cost", F.explode(F.array_distinct(around)).alias("cell")).select("a", "b", "length", "cost", "cell.*")
-        near = near.join(busy, ["cy", "cx"], "left_semi")
-        # a cell's width in longitude is one side where it is narrowest: north of 25 degrees it is less than its height
-        kernel = _paths(side * 0.9)
-        made = fits.groupBy("cy", "cx").cogroup(near.groupBy("cy", "cx")).applyInPandas(kernel, "a long, b long, cost double, metres double, path array<long>")
-        made = written(made, "paths")
-        found = made if found is None else found.unionByName(made)
-        left = written(left.join(made, ["a", "b"], "left_anti"), "legs")
-        passing.append(left)
-        if left.isEmpty():
-            break
-    for table in passing:
-        discard(table)
-    return found
-
-
-def routes(candidates: DataFrame, shapes: DataFrame, nodes: DataFrame, roads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def routes(candidates: DataFrame, shapes: DataFrame, net: Network) -> tuple[DataFrame, DataFrame]:
     """The routes (key, seq, snap_mean, worst) and targets (key, target) of all candidates that can be built.
 
     worst: the largest ratio of a leg's metres to the straight line, among legs of more than 25 m. Spurs A-B-A of the
     joined paths are collapsed.
     """
     targets = place(candidates, shapes)
-    ring = written(snap(control_points(targets), nodes), "stops")
+    ring = written(snap(control_points(targets), net.nodes), "stops")
     hops = F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda k: F.struct(F.get("stops", k).alias("a"), F.get("stops", k + 1).alias("b")))
     legs = ring.select("key", "snap_mean", F.posexplode(hops).alias("leg", "hop")).select("key", "snap_mean", "leg", "hop.*").where("a <> b")
-    paths = route_legs(legs, roads, nodes)
-    a, b = (nodes.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon")) for x in "ab")
+    paths = route_legs(legs, net)
+    a, b = (net.nodes.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon")) for x in "ab")
     routed = paths.join(a, "a").join(b, "b").withColumn("straight", haversine("alat", "alon", "blat", "blon"))
     detour = F.when(F.col("straight") > LEG, F.col("metres") / F.col("straight"))
     joined = legs.join(routed.select("a", "b", "path", detour.alias("detour")), ["a", "b"], "left")
@@ -163,12 +91,15 @@ def routes(candidates: DataFrame, shapes: DataFrame, nodes: DataFrame, roads: Da
     return made, outlines
 
 
-def steps(found: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFrame:
-    """(key, i, node, lat, lon, next and the attributes of the road to it): the last step has no road."""
+def steps(found: DataFrame, net: Network) -> DataFrame:
+    """(key, i, node, lat, lon, next and the attributes of the road to it): the last step has no road.
+
+    The network has one road for each pair of nodes.
+    """
     rows = found.select("key", F.posexplode("seq").alias("i", "node"))
     rows = rows.withColumn("next", F.lead("node").over(Window.partitionBy("key").orderBy("i")))
-    rows = rows.join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node")
-    road = roads.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")}).drop("a", "b", "cost")
+    rows = rows.join(net.nodes.select(F.col("id").alias("node"), "lat", "lon"), "node")
+    road = net.attributes.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")}).drop("a", "b", "cost")
     pair = rows.withColumns({"u": F.least("node", F.coalesce("next", F.lit(-1))), "v": F.greatest("node", "next")})
     return pair.join(road, ["u", "v"], "left")
 
@@ -186,75 +117,112 @@ def sums(walked: DataFrame) -> DataFrame:
     )
 
 
-def quick_scores(candidates: DataFrame, shapes: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFrame:
+def quick_scores(candidates: DataFrame, shapes: DataFrame, net: Network) -> DataFrame:
     """Candidates that can be built, with seq, km, error_m, fidelity, safety, retrace, snap_mean, worst and score."""
-    made, targets = routes(candidates, shapes, nodes, roads)
+    made, targets = routes(candidates, shapes, net)
     made = written(made, "routes")
-    table = sums(steps(made, nodes, roads)).join(made, "key").join(targets, "key").join(candidates, "key")
+    table = sums(steps(made, net)).join(made, "key").join(targets, "key").join(candidates, "key")
     table = table.withColumn("error_m", outline.error(F.col("points"), F.col("target")))
-    c, cut = F.col, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    c, part = F.col, lambda x: 1 - F.least(F.lit(1.0), x)
     fit = outline.fidelity(c("error_m"), c("size_m"))
-    score = (
-        0.46 * fit + 0.16 * c("safety") + 0.08 * (1 - F.least(F.lit(1.0), c("retrace") * 2.5)) + 0.12 * (1 - F.least(F.lit(1.0), c("snap_mean") / 160.0))
-        + 0.10 * (1 - F.least(F.lit(1.0), (c("worst") - 1.3) / 1.7)) + 0.08 * (1 - cut((F.abs("rot") - 25.0) / 35.0))
-    )
-    return table.select("key", "shape", *PLACE, "seq", (c("length_m") / 1000).alias("km"), "error_m", fit.alias("fidelity"), "safety", "retrace", "snap_mean", "worst", score.alias("score"))
-
-
-def _best(scored: DataFrame, by: str) -> DataFrame:
-    """The candidate with the best score of each ``by``; of equal ones the first key."""
-    columns = [c for c in scored.columns if c != by]
-    return scored.groupBy(by).agg(F.min_by(F.struct(*columns), F.struct((-F.col("score")).alias("s"), "key")).alias("b")).select(by, "b.*")
+    parts = {
+        "fidelity": fit, "safety": c("safety"), "retrace": part(c("retrace") * RETRACE), "snap": part(c("snap_mean") / SNAP_REACH), "detour": part((c("worst") - DETOUR) / DETOUR_REACH),
+        "tilt": part(F.greatest(F.lit(0.0), F.abs("rot") - TILT) / TILT_REACH),
+    }
+    score = sum(w * parts[k] for k, w in WEIGHTS.items())
+    km = (c("length_m") / 1000).alias("km")
+    return table.select("key", "shape", *PLACE, "seq", km, "error_m", fit.alias("fidelity"), "safety", "retrace", "snap_mean", "worst", score.alias("score"))
 
 
-def coarse(jobs: DataFrame, shapes: DataFrame, nodes: DataFrame, roads: DataFrame, rotations=(-24, -16, -8, 0, 8, 16, 24)) -> DataFrame:
+def coarse(jobs: DataFrame, shapes: DataFrame, net: Network, rotations=(-24, -16, -8, 0, 8, 16, 24)) -> DataFrame:
     """The best of 25 centres and seven rotations of each job (job, shape, km, south, west, north, east, perimeter).
 
     The size makes the outline a twelfth shorter than the wanted length. Centres without a node in 600 m are left out.
+    Of equal scores the first counts, by centre from south to north, west to east, then by the order of rotations.
     """
     fifths = F.explode(F.sequence(F.lit(1), F.lit(5)))
     grid = jobs.withColumn("ci", fifths).withColumn("cj", fifths)
     grid = grid.withColumns({"clat": F.expr("south + (north - south) * ci / 6"), "clon": F.expr("west + (east - west) * cj / 6")})
     grid = grid.withColumn("centre", F.concat_ws("/", "job", "ci", "cj"))
-    near = nearest(grid.select("centre", F.col("clat").alias("lat"), F.col("clon").alias("lon")), "centre", nodes, 600.0)
-    grid = grid.join(near.select("centre"), "centre", "left_semi").withColumn("rot", F.explode(F.array(*(F.lit(float(r)) for r in rotations))))
+    near = nearest(grid.select("centre", F.col("clat").alias("lat"), F.col("clon").alias("lon")), "centre", net.nodes, 600.0)
+    grid = grid.join(near.select("centre"), "centre", "left_semi")
+    grid = grid.select("*", F.posexplode(F.array(*(F.lit(float(r)) for r in rotations))).alias("turn", "rot"))
     size = (F.col("km") * 1000.0 / F.col("perimeter") / 1.12).alias("size_m")
-    tried = grid.select(F.concat_ws("/", "centre", F.col("rot")).alias("key"), "job", "shape", "clat", "clon", size, "rot")
-    return _scored_best(tried, shapes, nodes, roads)
-
-
-def _scored_best(tried: DataFrame, shapes: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFrame:
+    order = (F.col("ci") * 1000 + F.col("cj") * 100 + F.col("turn")).alias("move")
+    tried = grid.select(F.concat_ws("/", "centre", "turn").alias("key"), "job", "shape", "clat", "clon", size, "rot", order)
+    scored = _scored(tried, shapes, net)
+    columns = [c for c in scored.columns if c not in ("job", "move")]
+    best = scored.groupBy("job").agg(F.min_by(F.struct(*columns), F.struct((-F.col("score")).alias("s"), "move")).alias("b"))
+    kept = written(best.select("job", "b.*"), "best")
+    discard(scored)
+    return kept
+
+
+def _scored(tried: DataFrame, shapes: DataFrame, net: Network) -> DataFrame:
+    """Quick scores of (key, job, shape, place, move), with job and move."""
     tried = written(tried, "tried")
-    scored = quick_scores(tried.drop("job"), shapes, nodes, roads).join(tried.select("key", "job"), "key")
-    return written(_best(scored, "job"), "best")
-
+    scored = written(quick_scores(tried.drop("job", "move"), shapes, net).join(tried.select("key", "job", "move"), "key"), "scored")
+    discard(tried)
+    return scored
+
+
+def _moved(live: DataFrame, moves: list[tuple], shapes: DataFrame, net: Network) -> DataFrame:
+    """(job, tries): the scores of all moves (east, north, turn, factor of size) by number that can be built."""
+    move = F.posexplode(F.array(*(F.struct(*(v.alias(n) for v, n in zip(t, "xyrs", strict=True))) for t in moves)))
+    tried = live.select("job", "shape", *PLACE, "step_m", "step_r", "step_s", move.alias("move", "t"))
+    lat, lon = enu_inverse("clat", "clon", F.col("t.x"), F.col("t.y"))
+    at = {"clat": lat, "clon": lon, "size_m": F.col("size_m") * F.col("t.s"), "rot": F.col("rot") + F.col("t.r")}
+    scored = _scored(tried.select(F.concat_ws("/", "job", "move").alias("key"), "job", "shape", *(v.alias(k) for k, v in at.items()), "move"), shapes, net)
+    columns = [c for c in scored.columns if c not in ("job", "move")]
+    tries = written(scored.groupBy("job").agg(F.map_from_entries(F.collect_list(F.struct("move", F.struct(*columns)))).alias("tries")), "tries")
+    discard(scored)
+    return tries
+
+
+def climb(best: DataFrame, shapes: DataFrame, net: Network, rounds: int = 9) -> DataFrame:
+    """Hill climbing: a job takes each move that improves it at once, in the order centre, rotation, size.
+
+    The six moves of the centre start from the round's first place, so all jobs try them together; turns and sizes start
+    from what the centre came to, and all that the order can lead to is measured together: a larger size may be followed
+    by a smaller one, a turn by no other. A job whose round brings nothing goes on with smaller steps, and stops once a
+    step is below 40 m.
+    """
+    state = best.withColumns({n: F.lit(v) for n, v in zip(("step_m", "step_r", "step_s"), STEPS, strict=True)})
+    columns = [c for c in best.columns if c not in ("job",)]
+    now, zero, one = F.struct(*columns), F.lit(0.0), F.lit(1.0)
+    m, r, s = F.col("step_m"), F.col("step_r"), F.col("step_s")
+    centres = [(m, zero, zero, one), (-m, zero, zero, one), (zero, m, zero, one), (zero, -m, zero, one), (m, m, zero, one), (-m, -m, zero, one)]
+    turns, sizes = (zero, r, -r), (one, 1 + s, 1 - s, (1 + s) * (1 - s))
+    others = [(zero, zero, t, f) for t in turns for f in sizes]
 
-def climb(best: DataFrame, shapes: DataFrame, nodes: DataFrame, roads: DataFrame, rounds: int = 9) -> DataFrame:
-    """Hill climbing: in a round every job tries ten moves (centre, rotation, size) and takes the best that improves it.
+    def better(cur, other):
+        return F.when(F.coalesce(other["score"] > cur["score"], F.lit(False)), other).otherwise(cur)
 
-    A job whose round brings nothing moves on with smaller steps, and stops once a step is below 40 m. The moves of
-    all jobs of a round are measured together.
-    """
-    state = best.withColumns({"step_m": F.lit(260.0), "step_r": F.lit(6.0), "step_s": F.lit(0.10)})
     for _ in range(rounds):
-        live = state.where("step_m >= 40")
+        live = state.where(F.col("step_m") >= ENOUGH)
         if live.isEmpty():
             break
-        zero, m, r, s = F.lit(0.0), F.col("step_m"), F.col("step_r"), F.col("step_s")
-        moves = [(m, zero), (-m, zero), (zero, m), (zero, -m), (m, m), (-m, -m)]
-        tries = [(x, y, zero, zero) for x, y in moves] + [(zero, zero, r, zero), (zero, zero, -r, zero), (zero, zero, zero, s), (zero, zero, zero, -s)]
-        move = F.posexplode(F.array(*(F.struct(*(v.alias(n) for v, n in zip(t, "xyrs", strict=True))) for t in tries)))
-        tried = live.select("job", "shape", *PLACE, "step_m", "step_r", "step_s", move.alias("k", "t"))
-        lat, lon = enu_inverse("clat", "clon", F.col("t.x"), F.col("t.y"))
-        tried = tried.select(F.concat_ws("/", "job", "k").alias("key"), "job", "shape", lat.alias("clat"), lon.alias("clon"), (F.col("size_m") * (1 + F.col("t.s"))).alias("size_m"), (F.col("rot") + F.col("t.r")).alias("rot"))
-        better = _scored_best(tried, shapes, nodes, roads)
-        columns = [c for c in best.columns if c != "job"]
-        fresh = better.select("job", F.struct(*columns).alias("new"))
-        gained = F.coalesce(F.col("new.score") > F.col("score"), F.lit(False))
-        moved = state.join(fresh, "job", "left").withColumn("gained", gained)
-        shrink = lambda n, f: F.when(F.col("gained"), F.col(n)).otherwise(F.col(n) * f).alias(n)
-        kept = [F.when(F.col("gained"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
-        state = written(moved.select("job", *kept, shrink("step_m", 0.55), shrink("step_r", 0.6), shrink("step_s", 0.6)), "state")
+        tried = _moved(live, centres, shapes, net)
+        cur = now
+        for k in range(len(centres)):
+            cur = better(cur, F.col("tries")[k])
+        middle = written(state.join(tried, "job", "left").select("job", cur.alias("cur"), "step_m", "step_r", "step_s", F.col("score").alias("before")), "middle")
+        discard(tried)
+        live = middle.where(F.col("step_m") >= ENOUGH).select("job", "cur.*", "step_m", "step_r", "step_s")
+        tried = _moved(live, others[1:], shapes, net)
+        joined = middle.join(tried, "job", "left")
+        at = lambda turn, size: F.col("tries")[turn * 4 + size - 1]
+        gains = lambda cur, other: F.coalesce(other["score"] > cur["score"], F.lit(False))
+        turn = F.when(gains(F.col("cur"), at(1, 0)), 1).when(gains(F.col("cur"), at(2, 0)), 2).otherwise(0)
+        joined = joined.withColumn("turn", turn).withColumn("cur", F.when(F.col("turn") == 1, at(1, 0)).when(F.col("turn") == 2, at(2, 0)).otherwise(F.col("cur")))
+        size = lambda k: F.when(F.col("turn") == 0, at(0, k)).when(F.col("turn") == 1, at(1, k)).otherwise(at(2, k))
+        joined = joined.withColumn("larger", gains(F.col("cur"), size(1)))
+        joined = joined.withColumn("cur", F.when(F.col("larger"), better(size(1), size(3))).otherwise(better(F.col("cur"), size(2))))
+        gained = F.col("cur.score") > F.col("before")
+        after = (F.when(gained, F.col(n)).otherwise(F.col(n) * f).alias(n) for n, f in zip(("step_m", "step_r", "step_s"), LESS, strict=True))
+        old, state = state, written(joined.select("job", "cur.*", *after), "state")
+        for table in (old, tried, middle):
+            discard(table)
     return state.drop("step_m", "step_r", "step_s")
 
 
@@ -266,33 +234,3 @@ def along(points: DataFrame, poi: DataFrame, metres: float) -> DataFrame:
     near = within(points, poi.select("ord", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")), metres, spread="right")
     best = near.groupBy("key", "ord").agg(F.min(F.struct("d", "i", "before_m")).alias("m"))
     return best.select("key", "ord", "m.d", F.col("m.before_m").alias("at_m"))
-
-
-def shape_part(fit, closure, retrace, size):
-    """The shape's part of the score."""
-    return 0.50 * fit + 0.20 * band(closure, 30, 400) + 0.15 * band(retrace, 0.05, 0.40) + 0.15 * band(size / 25000.0 * 1000.0, 40, 12)
-
-
-def safety_part(safety, signals_km, greenway, dead):
-    """R2: safety, waiting at signals, greenways and dead ends."""
-    return 0.45 * safety + 0.25 * band(signals_km, 1.5, 4) + 0.20 * F.least(F.lit(1.0), greenway / 0.35) + 0.10 * band(dead, 0, 6)
-
-
-def distance_part(km, low, high, gain):
-    """The length within its band, and the climb; an unknown climb counts 0.75."""
-    off = F.when(km < low, low - km).otherwise(km - high)
-    limit = 50.0 * km / 10.0
-    up = F.when(gain.isNull(), 0.75).otherwise(band(gain, limit, limit * 3 + 30))
-    return 0.70 * F.when(km.between(low, high), 1.0).otherwise(band(off, 0, 3)) + 0.30 * up
-
-
-def district_part(aspect, low, high, greenway, marks):
-    """The ratio of width to height within the district's band, greenways, and three landmarks."""
-    off = F.when(aspect < low, low - aspect).otherwise(aspect - high)
-    inside = F.when(aspect.between(low, high), 1.0).otherwise(band(off, 0, 0.9))
-    return 0.40 * inside + 0.35 * F.least(F.lit(1.0), greenway / 0.30) + 0.25 * band(F.abs(F.least(marks.cast("double"), F.lit(3.0)) - 3), 0, 3)
-
-
-def logistics_part(transit, gap_km):
-    """The walk to a stop, and the longest way without supply."""
-    return 0.55 * band(transit, 400, 1500) + 0.45 * band(gap_km, 3, 6)

@@ -36,10 +36,10 @@ def bisect(goals: DataFrame, measure: Measure, rounds: int = 16) -> DataFrame:
     return state.select("key", "side", "size")
 
 
-def fit_band(routes: DataFrame, measure: Measure, score: Measure, rounds: int = 16, margin: float = 0.15, steps: int = 5) -> DataFrame:
-    """(key, size, km, score, fitted): the best of ``steps`` sizes between those that meet both ends of a band.
+def fit_band(routes: DataFrame, measure: Measure, score: Measure, rounds: int = 16, margin: float = 0.15, steps: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, size, km, score, the columns of ``keep``, fitted): the best of ``steps`` sizes between those that meet both ends of a band.
 
-    routes: (key, size, lo_km, hi_km). score adds a column ``score`` to what measure returns. Only sizes within the
+    routes: (key, size, lo_km, hi_km). score adds a column ``score``, and those of ``keep``, to what measure returns. Only sizes within the
     band count; of equal scores the smallest size wins; without any the route keeps its size and ``fitted`` is false.
     """
     ends = F.explode(F.array(F.struct(F.lit("lo").alias("side"), (F.col("lo_km") + margin).alias("goal")), F.struct(F.lit("hi").alias("side"), (F.col("hi_km") - margin).alias("goal"))))
@@ -48,6 +48,6 @@ def fit_band(routes: DataFrame, measure: Measure, score: Measure, rounds: int =
     tries = span.select("key", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"), "least", "most")
     tries = tries.select("key", F.col("k").cast("string").alias("side"), (F.col("least") + (F.col("most") - F.col("least")) * F.col("k") / (steps - 1)).alias("size"))
     found = score(tries).join(routes.select("key", "lo_km", "hi_km"), "key").where("km between lo_km and hi_km")
-    best = found.groupBy("key").agg(F.max_by(F.struct("size", "km", "score"), F.struct("score", -F.col("size"))).alias("b"))
+    best = found.groupBy("key").agg(F.max_by(F.struct("size", "km", "score", *keep), F.struct("score", -F.col("size"))).alias("b"))
     kept = routes.select("key", F.col("size").alias("old")).join(best, "key", "left")
-    return kept.select("key", F.coalesce("b.size", "old").alias("size"), "b.km", "b.score", F.col("b").isNotNull().alias("fitted"))
+    return kept.select("key", F.coalesce("b.size", "old").alias("size"), "b.km", "b.score", *(f"b.{c}" for c in keep), F.col("b").isNotNull().alias("fitted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shapeloom.operators.ranges import numbered
 from shapeloom.plans.catalog import query
 from shapeloom.plans.fixtures import sql, view
 
@@ -120,9 +121,9 @@ def io14_s16_cue_csv(spark, d):
 
 @query("with s as (" + sql("steps") + ") select name, row_number() over (order by min(route * 100 + i)) as code, count(*) as n from s group by name")
 def io11_name_dictionary(spark, d):
-    """IO11: names numbered by first appearance; the dictionary is small, its rows are not."""
+    """IO11: names numbered by first appearance, over ranges of places: no task takes all names."""
     names = view(spark, d, "steps").groupBy("name").agg(F.min(F.col("route") * 100 + F.col("i")).alias("first"), F.count("*").alias("n"))
-    return names.select("name", F.row_number().over(Window.orderBy("first")).cast("long").alias("code"), "n")
+    return numbered(names, ["first"], "code").select("name", "code", "n")
 
 
 @query(_ROUTES + " select route, '{\"route\":' || route || ',\"level\":\"' || level || '\",\"km\":' || km || '}' as line from r")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.geo import haversine
 from shapeloom.functions.text import vertices
 from shapeloom.operators import network as N
 from shapeloom.operators import outline
 from shapeloom.operators import planner as P
+from shapeloom.operators import scoring as S
+from shapeloom.operators.staging import written
 from shapeloom.plans.catalog import query
-from shapeloom.plans.fixtures import GREEN, SAFETY, sql, view
+from shapeloom.operators.network import GREEN
+from shapeloom.plans.fixtures import SAFETY, sql, view
 from shapeloom.plans.graph_queries import _POI, _SAFE, edges
 
 #: Points to which walks are resampled: they have seven vertices at most. Kilometres of a level, ratio of a district.
@@ -75,21 +77,10 @@ _BOX = (
 )
 
 
-def extents(w: DataFrame) -> DataFrame:
-    """(key, closure, aspect): metres from a walk's end to its start; its width at the first vertex over its height."""
-    first, last = (lambda c: F.min_by(c, "i")), (lambda c: F.max_by(c, "i"))
-    box = w.groupBy("key").agg(
-        F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("o"),
-        first("lat").alias("lat0"), first("lon").alias("lon0"), last("lat").alias("lat1"), last("lon").alias("lon1"),
-    )
-    high, wide = haversine("s", "lon0", "n", "lon0"), haversine("lat0", "w", "lat0", "o")
-    return box.select("key", haversine("lat0", "lon0", "lat1", "lon1").alias("closure"), F.when(high > 0, wide / high).otherwise(1.0).alias("aspect"))
-
-
 @query(_WALK + _BOX + " select route, closure, case when high > 0 then wide / high else 1e0 end as aspect from extent")
 def a9_aspect_and_closure(spark, d):
     """The ratio of a walk's width to its height, and how far its ends are apart."""
-    return extents(walk(spark, d)).withColumnRenamed("key", "route")
+    return S.extents(walk(spark, d)).withColumnRenamed("key", "route")
 
 
 _GAP = _NEAR.format(name="sup", poi=_poi_sql(2), metres=220) + (
@@ -100,20 +91,10 @@ _GAP = _NEAR.format(name="sup", poi=_poi_sql(2), metres=220) + (
 )
 
 
-def supply_gaps(w: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, gap_km): the longest way without supply within 220 m, from the start and to the end; all of it without any."""
-    near = P.along(w, places, 220.0).select("key", F.col("at_m").alias("x"))
-    total = w.groupBy("key").agg(F.sum("length").alias("length_m"))
-    some = near.select("key").distinct()
-    marks = near.unionByName(some.withColumn("x", F.lit(0.0))).unionByName(total.join(some, "key", "left_semi").select("key", F.col("length_m").alias("x")))
-    gap = marks.withColumn("g", F.col("x") - F.lag("x").over(Window.partitionBy("key").orderBy("x"))).groupBy("key").agg((F.max("g") / 1000).alias("gap_km"))
-    return total.join(gap, "key", "left").select("key", F.coalesce("gap_km", F.col("length_m") / 1000).alias("gap_km"))
-
-
 @query(_WALK + _GAP + " select route, gap_km from supply")
 def a10_j5_supply_gap(spark, d):
     """The longest way without supply along each walk."""
-    return supply_gaps(walk(spark, d), poi(spark, d, 2)).withColumnRenamed("key", "route")
+    return S.supply_gaps(walk(spark, d), poi(spark, d, 2)).withColumnRenamed("key", "route")
 
 
 _V = "with v as (select vec_id, i, cast(embedding[2 * i - 1] as double) as x, cast(embedding[2 * i] as double) as y from (select vec_id, unnest(range(1, 33)) as i, embedding from embeddings) e)"
@@ -209,33 +190,11 @@ def r1_r6_a13_scores(spark, d):
 
     Climbs are known for walks with a track (the span of its values); without one the climb counts 0.75.
     """
-    w = walk(spark, d)
-    again = F.col("next").isNotNull() & (F.row_number().over(Window.partitionBy("key", F.least("node", "next"), F.greatest("node", "next")).orderBy("i")) > 1)
-    green = F.col("hw").isin(*GREEN) | F.col("name").rlike("|".join(N.GREENWAY_HINTS))
-    length = F.col("length")
-    total = F.sum(length)
-    table = w.withColumn("again", again).groupBy("key").agg(
-        (total / 1000).alias("km"), (F.sum(F.round(N.base_safety(F.col("hw")) * 100) * length) / (100.0 * total)).alias("safety"),
-        (F.sum(F.when(green, length).otherwise(0.0)) / total).alias("greenway"), (F.sum(F.when(F.col("again"), length).otherwise(0.0)) / total).alias("retrace"),
-    )
-    start = w.where("i = 0").select("key", "lat", "lon")
-    stops = poi(spark, d, 3).select(F.col("ord").alias("id"), "lat", "lon")
-    counts = {name: P.along(w, poi(spark, d, layer), metres).groupBy("key").agg(F.count("*").alias(name)) for name, layer, metres in (("signals", 0, 35.0), ("marks", 4, 180.0))}
-    dead = w.join(N.degrees(edges(spark, d)), "node", "left").groupBy("key").agg(F.count_if(F.col("degree") == 1).alias("dead"))
+    w = written(walk(spark, d), "walk")
+    places = {name: poi(spark, d, layer) for name, layer in (("signals", 0), ("supply", 2), ("transit", 3), ("landmarks", 4))}
     gains = view(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg((F.max("value") - F.min("value")).alias("gain"))
-    transit = N.nearest_at_any_distance(start, "key", stops, 1500.0).select("key", F.col("d").alias("transit"))
-    for more in (extents(w), supply_gaps(w, poi(spark, d, 2)), fits(w), dead, transit):
-        table = table.join(more, "key")
-    for more in (*counts.values(), gains):
-        table = table.join(more, "key", "left")
-    c = F.col
-    signals = F.coalesce("signals", F.lit(0)) / F.greatest("km", F.lit(0.1))
-    parts = {
-        "shape": P.shape_part(outline.fidelity(c("error_m"), F.lit(SIZE)), c("closure"), c("retrace"), F.lit(SIZE)),
-        "safety": P.safety_part(c("safety"), signals, c("greenway"), c("dead")),
-        "distance": P.distance_part(c("km"), F.lit(LOW_KM), F.lit(HIGH_KM), c("gain")),
-        "district": P.district_part(c("aspect"), F.lit(LOW_ASPECT), F.lit(HIGH_ASPECT), c("greenway"), F.coalesce("marks", F.lit(0))),
-        "logistics": P.logistics_part(c("transit"), c("gap_km")),
-    }
-    total = 100 * sum(w * parts[k] for k, w in (("shape", 0.3), ("safety", 0.25), ("distance", 0.2), ("district", 0.15), ("logistics", 0.1)))
-    return table.select(c("key").alias("route"), *(v.alias(k) for k, v in parts.items()), total.alias("total"))
+    terms = w.select("key").distinct().join(gains, "key", "left").select(
+        "key", "gain", *(F.lit(v).alias(n) for n, v in (("size_m", SIZE), ("low_km", LOW_KM), ("high_km", HIGH_KM), ("low_aspect", LOW_ASPECT), ("high_aspect", HIGH_ASPECT)))
+    )
+    safe = w.withColumns({"green": S.is_green(F.col("hw"), F.col("name")), "safety_100": F.round(N.base_safety(F.col("hw")) * 100)})
+    return S.scores(safe, fits(w), places, N.degrees(edges(spark, d)), terms).select(F.col("key").alias("route"), *S.WEIGHTS, "total")
