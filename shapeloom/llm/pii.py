@@ -37,7 +37,7 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 _KINDS = ("email", "date", "ip", "iban", "secret", "phone", "number")
-_WORTH = re.compile(r"[0-9@]")
+_WORTH = re.compile(r"[\d@]")
 
 
 def _round(key: bytes, tweak: str, step: int, value: int, size: int) -> int:
@@ -161,9 +161,30 @@ def _iban(key: bytes, text: str) -> str | None:
     return "".join(c if c == " " else next(fresh) for c in text[:end])
 
 
+def _as_ascii(text: str) -> str:
+    """Digits of all scripts as ASCII digits."""
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _in_script(made: str, text: str) -> str:
+    """Digits in the script of the digits in the same places of a text, or of its first digit where places differ."""
+    first = next(c for c in text if c.isdecimal())
+    other = [text[k] if len(text) >= len(made) and text[k].isdecimal() else first for k in range(len(made))]
+    return "".join(chr(ord(o) - unicodedata.decimal(o) + int(c)) if c.isdecimal() else c for c, o in zip(made, other, strict=True))
+
+
 @lru_cache(100_000)
 def pseudonym(key: bytes, kind: str, text: str) -> str | None:
-    """The value's pseudonym; None where it fails the rule of its kind."""
+    """The value's pseudonym; None where it fails the rule of its kind.
+
+    Equal numbers in digits of several scripts have equal pseudonyms, each in its own script.
+    """
+    plain = text if text.isascii() or kind == "email" else _as_ascii(text)
+    made = _pseudonym(key, kind, plain)
+    return made if made is None or plain == text else _in_script(made, text)
+
+
+def _pseudonym(key: bytes, kind: str, text: str) -> str | None:
     if kind == "email":
         local, _, domain = text.partition("@")
         alphabets = [_alphabet(c) for c in local]

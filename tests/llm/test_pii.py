@@ -90,3 +90,20 @@ def test_odd_rows(spark):
     assert by[None, 15].text[2:] == twice[0].text[2:] and by[4, len(long)].found == [Row(kind="email", start=100_000, end=100_015)]
     assert pii.pseudonymise(docs.where("false"), KEY).collect() == []
     assert pii.pseudonymise(docs.withColumnRenamed("found", "lang"), KEY, keep=("lang",)).columns == ["doc_id", "text", "found", "lang"]
+
+
+def test_digits_of_all_scripts_are_treated_alike():
+    """A number's pseudonym does not depend on its neighbours, keeps its script, and is the same number in every script."""
+    other = lambda text, zero: "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in text)
+    for value, kind in (("4111111111111111", "number"), ("2024-02-29", "date"), ("10.20.30.40", "ip"), ("+49 (017) 555-7713", "phone"), ("DE89370400440532013000", "iban")):
+        want, _ = pii.replace(KEY, f"see {value} there")
+        for zero in "٠०０":
+            if kind == "iban" and zero != "٠":
+                continue
+            text = other(value, zero) if kind != "iban" else value[:2] + other(value[2:4], zero) + value[4:]
+            out, places = pii.replace(KEY, f"see {text} there")
+            assert [p["kind"] for p in places] == [kind] and pii._as_ascii(out) == want
+            assert pii.replace(KEY, f"see {text} there in 7 days")[0] == out + " in 7 days"
+            if kind != "iban":
+                assert not re.search("[0-9]", out)
+    assert pii.replace(KEY, "½ x² ٣ apples")[0] == "½ x² ٣ apples"
