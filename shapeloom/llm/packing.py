@@ -26,8 +26,8 @@ from shapeloom.llm.common import id_and_text, written
 
 #: Tokens of a sequence; pieces of a group, about; and bins that a certified group hands on.
 LENGTH, PER_GROUP, HANDED = 2048, 20_000, 8
-#: A round that saves fewer than one in so many of the bins that it opened is the last one.
-LEAST_GAIN = 1000
+#: Rounds in a row that save no bin, each with another deal of the open pieces, before the exchange ends above the bound.
+PATIENCE = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[tuple[str, bool], object] = {}
 
@@ -174,9 +174,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, pe
     bound, total = bound_of_counts(counts), int(counts[length])
     # full pieces have numbers below 0, by their place in the written table; packed sequences have others
     done = [alone.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    left, held, held_bins, turn = int(counts[:length].sum()), None, 0, 0
+    left, held, held_bins, held_left, turn, vain = int(counts[:length].sum()), None, 0, 0, 0, 0
     while left:
         groups = -(-left // per_group)
+        if turn >= 2000 or groups >= 4_000_000:
+            raise ValueError("numbers of sequences would not be unique: take larger groups")
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).cast("int")
         packed = rest.select(*columns).withColumn("group", key).groupBy("group").applyInPandas(_pack(length), f"{PIECES}, group int, bin long, offset long, open boolean")
         # rounds, groups and bins are numbered apart: no two sequences share a number
@@ -185,15 +187,19 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, pe
         found = {r["open"]: (r.bins, r.n) for r in packed.groupBy("open").agg(F.count_distinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()}
         (shut, _), (ajar, left) = found.get(False, (0, 0)), found.get(True, (0, 0))
         better = held is None or shut + ajar < held_bins
-        gain = held_bins - shut - ajar
-        if groups == 1 or total + shut + ajar <= bound or held is not None and gain <= held_bins // LEAST_GAIN:
+        vain = 0 if better else vain + 1
+        if groups == 1 or total + shut + ajar <= bound or vain >= PATIENCE:
             done.append((packed if better else held).select(*columns, "sequence_id", "offset"))
             total += shut + ajar if better else held_bins
             break
+        if not better:
+            # what was held stays, and is dealt anew
+            turn, left = turn + 1, held_left
+            continue
         done.append(packed.where(~F.col("open")).select(*columns, "sequence_id", "offset"))
         total += shut
         held = rest = packed.where("open")
-        held_bins, turn = ajar, turn + 1
+        held_bins, held_left, turn = ajar, left, turn + 1
     logging.getLogger(__name__).info("%d sequences, lower bound %d, gap %d", total, bound, total - bound)
     out = done[0]
     for d in done[1:]:

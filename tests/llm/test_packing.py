@@ -38,6 +38,10 @@ def test_certified_groups_keep_their_bins(spark):
     assert n == 400 and max(groups.values()) <= 80
 
 
+#: Bins above the bound that are left at groups of 20 pieces.
+GAP = 3
+
+
 def test_open_groups_stay_bounded(spark):
     """Thirds and a bit: no group meets its bound; groups stay bounded all the same, and the bins near the bound."""
     docs = spark.createDataFrame([(i, " a" * (14 + i * 7919 % 31)) for i in range(600)], "doc_id long, text string")
@@ -45,4 +49,4 @@ def test_open_groups_stay_bounded(spark):
     n, groups = checked(rows, 64)
     bound = packing.lower_bound(np.array([r.length for r in rows]), 64)
     assert sorted(r.doc_id for r in rows) == list(range(600))
-    assert bound <= n <= bound * 1.06 and max(groups.values()) <= 80
+    assert bound <= n <= bound + GAP and max(groups.values()) <= 80
