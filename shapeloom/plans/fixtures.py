@@ -63,6 +63,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def statement(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A statement over given tables, each named in braces."""
+    return spark.sql(text, **{t: view(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text})
+
+
 def sql(name: str) -> str:
     """The view as a DuckDB statement over the given tables."""
     text = _expanded(name)
