@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from shapeloom.plans import element_queries, graph_queries, library_queries, plan_queries, route_queries, scalar_queries, score_queries, search_queries, sink_queries  # noqa: F401
+    from shapeloom.plans import element_queries, graph_queries, library_queries, plan_queries, route_queries, scalar_queries, score_queries, search_queries, sink_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
