@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapeloom.operators import notes, viewport
+from shapeloom.operators import planner as P
 from shapeloom.operators.network import EXCLUDED, GREENWAY_HINTS
+from shapeloom.operators.staging import written
 from shapeloom.plans.catalog import query
 from shapeloom.plans.fixtures import SAFETY, _distance, sql, statement
 from shapeloom.plans.graph_queries import micro
@@ -172,3 +175,81 @@ def io10_io24_graph_bundles(spark, d):
         "district", "a", "b", whole((F.col("alat") - F.col("lat0")) * 1e6, "lat_micro"), whole((F.col("blon") - F.col("lon0")) * 1e6, "lon_micro"), whole(F.col("length") * 10, "length_dm"),
         whole(F.col("safety") * 1000, "safety_milli"), "nodes", "bytes",
     )
+
+
+#: Every order is a route over its placed parts; steps without a road have no length.
+_STEPS = (
+    ", step as (select way as key, pos, node, next, least(node, next) as u, greatest(node, next) as v, lat, lon, row_number() over (partition by way order by pos) - 1 as i from hop),"
+    " walked as (select step.*, road.length, road.safety, road.label, road.highway, road.lit from step left join road on road.a = step.u and road.b = step.v),"
+    " path as (select *, coalesce(sum(length) over (partition by key order by i rows between unbounded preceding and 1 preceding), 0) as before_m from walked)"
+)
+
+
+def walked(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The steps of all orders as routes with the way before them, and the elements that they lie in."""
+    given = map_elements(spark, d)
+    nodes = statement(spark, d, _PLACED)
+    seq = statement(spark, d, _WAY_NODES).join(nodes.select(F.col("id").alias("node")), "node").groupBy("way").agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("xs"))
+    found = seq.select(F.col("way").alias("key"), F.transform("xs", lambda x: x["node"]).alias("seq"))
+    steps = P.steps_over(found, nodes, elements.roads(given))
+    line = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn("before_m", F.coalesce(F.sum("length").over(line), F.lit(0.0))), given
+
+
+@query(
+    _ROADS + _STEPS + ", again as (select *, next is not null and row_number() over (partition by key, u, v order by i) > 1 as again from path), z as (select key, coalesce(sum(length), 0) as length_m, sum(safety * length) as safe,"
+    " sum(case when again then length else 0 end) as twice, count(*) as n from again group by key)"
+    " select key, cast(floor(length_m * 1e3 + 5e-1) as bigint) as length_mm, cast(floor(safe / length_m * 1e6 + 5e-1) as bigint) as safety_micro, cast(floor(coalesce(twice, 0) / length_m * 1e6 + 5e-1) as bigint) as retrace_micro, n as points from z where length_m > 0"
+)
+def g6_j2_a2_a3_a5_route_sums(spark, d):
+    """Every route's steps with their roads: length, weighted safety, and the share walked twice."""
+    whole = lambda c, k, n: F.floor(F.col(c) * k + 0.5).cast("long").alias(n)
+    table = P.sums(walked(spark, d)[0]).where("length_m > 0")
+    return table.select("key", whole("length_m", 1e3, "length_mm"), whole("safety", 1e6, "safety_micro"), whole("retrace", 1e6, "retrace_micro"), F.size("points").cast("long").alias("points"))
+
+
+_CROSS = "(select id as ord, lat, lon, label as name, crossing as kind from (select * replace (id + 1000000000 as id), case when name <> '' then name else name_zh end as label from (" + _plain(_PLACES) + ") x) y where highway = 'crossing' and lat is not null and (" + _SELECTED + "))"
+
+
+@query(
+    _ROADS + _STEPS + ", lit_run as (select key, i, length, before_m, lit, row_number() over (partition by key order by i) - row_number() over (partition by key, coalesce(lit = 'no', false) order by i) as run from path where length is not null),"
+    " dark as (select key, min(before_m) as from_m, sum(length) as metres from lit_run where lit = 'no' group by key, run having sum(length) >= 120),"
+    " near as (select key, q.ord, q.name, " + _distance("p", "q") + " as d, i, before_m from path p, " + _CROSS + " q where q.kind not in ('traffic_signals', 'signals') and abs(p.lat - q.lat) < 1e-3),"
+    " cross_ as (select key, ord, any_value(name) as name, arg_min(before_m, (d, i)) as at_m from near where d <= 25 group by key, ord)"
+    f" select key, round_even(from_m / 1000, 2) as km, '{notes.DARK}' as type, printf('{notes.DARK_TEXT}', cast(round_even(metres, 0) as bigint)) as text from dark"
+    f" union all select key, round_even(at_m / 1000, 2), '{notes.CROSSING}', printf('{notes.CROSSING_TEXT}', case when name <> '' then '（' || name || '）' else '' end) from cross_"
+    f" union all select key, round_even(before_m / 1000, 2), '{notes.MAIN}', printf('{notes.MAIN_TEXT}', case when label <> '' then label else '{notes.UNNAMED}' end, cast(round_even(length, 0) as bigint)) from path where highway in ('primary', 'secondary') and length >= 200"
+)
+def u2_w7_p11_p12_j5_safety_note_sources(spark, d):
+    """All notes of every route from unlit stretches, open crossings and main roads, before they are thinned."""
+    w, given = walked(spark, d)
+    w = written(w, "walked")
+    # written before it is filtered: a filter that moves below the tags would repeat the making of all tags in each rule
+    places = written(elements.places(given), "places")
+    crossings = places.where("layer = 'crossings'").select(F.col("id").alias("ord"), "lat", "lon", "name", "kind")
+    return notes.sources(w, crossings).select("key", "km", "type", "text")
+
+
+_TOWNS = "select cast(floor(id / 50e0) as bigint) as key, id, lat, lon from (" + _plain(_PLACED) + ") t"
+
+
+@query(
+    _ROADS + ", towns as (" + _TOWNS + "), box as (select key, (min(lat) + max(lat)) / 2 as lat0, (min(lon) + max(lon)) / 2 as lon0, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from towns group by key),"
+    " sized as (select *, " + _distance("c", "d").replace("c.lat", "s").replace("d.lat", "n").replace("c.lon", "lon0").replace("d.lon", "lon0") + " as high, "
+    + _distance("c", "d").replace("c.lat", "lat0").replace("d.lat", "lat0").replace("c.lon", "w").replace("d.lon", "e") + " as wide from box),"
+    f" shown as (select *, least({viewport.WIDTH - 2 * viewport.MARGIN}e0 / greatest(wide, 1e0), {viewport.HEIGHT - viewport.HEAD - viewport.MARGIN}e0 / greatest(high, 1e0)) as scale, greatest(wide, high) * 115e-2 / 2 * 115e-2 as half from sized),"
+    " ends as (select r.*, p.lat as alat, p.lon as alon, q.lat as blat, q.lon as blon from road r join (" + _plain(_PLACED) + ") p on p.id = r.a join (" + _plain(_PLACED) + ") q on q.id = r.b),"
+    " met as (select *, " + _distance("c", "d").replace("c.lat", "alat").replace("d.lat", "lat0").replace("c.lon", "lon0").replace("d.lon", "lon0") + " as dy, "
+    + _distance("c", "d").replace("c.lat", "lat0").replace("d.lat", "lat0").replace("c.lon", "alon").replace("d.lon", "lon0") + " as dx from ends, shown where abs(alat - lat0) < 1e-1)"
+    f", seen as (select key, a, b, cast(floor(({viewport.WIDTH / 2!r} + radians(alon - lon0) * 63710088e-1 * cos(radians(lat0)) * scale) * 1e3 + 5e-1) as bigint) as ax_milli,"
+    f" cast(floor(({viewport.HEAD + (viewport.HEIGHT - viewport.HEAD) / 2!r} - radians(blat - lat0) * 63710088e-1 * scale) * 1e3 + 5e-1) as bigint) as by_milli, highway in ('primary', 'secondary') as main from met where dy <= half and dx <= half)"
+    " select key, main, count(*) as n, cast(sum(ax_milli) as bigint) as ax_milli, cast(sum(by_milli) as bigint) as by_milli from seen group by key, main"
+)
+def p14_io16_s19_roads_in_view(spark, d):
+    """P14 IO16 S19: the roads on the picture of each row of nodes, main ones apart: how many, and sums of their pixels."""
+    nodes = statement(spark, d, _PLACED)
+    a, b = (nodes.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon")) for x in "ab")
+    shown = viewport.views(nodes.select(F.floor(F.col("id") / 50).alias("key"), "lat", "lon"))
+    rows = viewport.roads_in_view(shown, elements.roads(map_elements(spark, d)).join(a, "a").join(b, "b"))
+    whole = lambda c: F.sum(F.floor(F.col(c) * 1e3 + 0.5)).cast("long").alias(f"{c}_milli")
+    return rows.groupBy("key", "main").agg(F.count("*").alias("n"), whole("ax"), whole("by"))
