@@ -20,6 +20,8 @@ TOES = ((0.845, 0.660, 0.115), (0.635, 0.815, 0.125), (0.375, 0.820, 0.125), (0.
 PAD, STRETCH = (0.5, 0.33, 0.36, 0.27), (1.15, 1.35)
 #: Kilometres of the standard level.
 LOW_KM, HIGH_KM = 5.0, 8.0
+#: Rounds of the climb and of the fit in the query of whole plans; plan() itself takes nine and sixteen by default.
+CLIMB_ROUNDS, FIT_ROUNDS = 3, 6
 
 
 def paw() -> list[tuple[float, float]]:
@@ -100,4 +102,4 @@ def g12_g13_g9_plan_best(spark, d):
     poi = view(spark, d, "poi")
     places = {name: poi.where(F.col("layer") == k).select("ord", "name", "lat", "lon") for name, k in (("signals", 0), ("supply", 2), ("transit", 3), ("landmarks", 4))}
     columns = ("job", "error", "rank", "total", *S.WEIGHTS, "km", "fitted", "clat", "clon", "size_m", "rot", "fidelity", "n_nodes")
-    return plan.plan(asked, shapes(spark), levels, net, places).select(*columns)
+    return plan.plan(asked, shapes(spark), levels, net, places, CLIMB_ROUNDS, FIT_ROUNDS).select(*columns)

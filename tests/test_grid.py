@@ -27,8 +27,9 @@ def points(rng, lat, lon, n, metres):
     return made
 
 
-@pytest.mark.parametrize(("lat", "lon"), [(0, 10), (24, 120.6), (36, -5), (60, 25), (-60, 25), (89.99, 0), (-33, 179.999), (64, -180), (0.0, 0.0)])
-@pytest.mark.parametrize("spread", ["left", "right"])
+@pytest.mark.parametrize(
+    ("lat", "lon", "spread"), [(0, 10, "left"), (24, 120.6, "right"), (36, -5, "left"), (60, 25, "left"), (60, 25, "right"), (-60, 25, "right"), (89.99, 0, "left"), (-33, 179.999, "right"), (64, -180, "left")]
+)
 def test_pairs_within_reach_at_every_latitude(spark, lat, lon, spread):
     rng, metres = random.Random(11), 600.0
     left, right = (points(rng, lat, lon, 120, metres) for _ in range(2))
