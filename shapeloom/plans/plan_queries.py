@@ -21,7 +21,7 @@ PAD, STRETCH = (0.5, 0.33, 0.36, 0.27), (1.15, 1.35)
 #: Kilometres of the standard level.
 LOW_KM, HIGH_KM = 5.0, 8.0
 #: Rounds of the climb and of the fit in the query of whole plans; plan() itself takes nine and sixteen by default.
-CLIMB_ROUNDS, FIT_ROUNDS = 3, 6
+CLIMB_ROUNDS, FIT_ROUNDS = 1, 4
 
 
 def paw() -> list[tuple[float, float]]:
