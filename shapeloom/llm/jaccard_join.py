@@ -417,7 +417,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
                 weight = written(_weighed(docs, sets, crowded, shingle, num, den), "weights")
                 passing.append(weight)
                 labelled, minor = (x.join(weight, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("heavy", "apart")}) for x in (labelled, minor))
-            links = links.unionByName(_links(docs, _visits(labelled, minor), shingle, num, den, True))
+            # written before they are contracted, so that no task runs two Python workers at a time
+            second = written(_links(docs, _visits(labelled, minor), shingle, num, den, True), "visited")
+            passing.append(second)
+            links = links.unionByName(second)
     found = connected_components(links, "u", "v")
     for table in passing:
         discard(table)

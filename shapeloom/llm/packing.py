@@ -15,6 +15,7 @@ import bisect
 import logging
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.llm.common import id_and_text, written
+from shapeloom.llm.kernels import tidy
 
 #: Tokens of a sequence; pieces of a group, about; and bins that a certified group hands on.
 LENGTH, PER_GROUP, HANDED = 2048, 20_000, 8
@@ -45,12 +47,8 @@ def encoder(path: str, added: bool = False):
     if (path, added) not in _loaded:
         from pathlib import Path
 
-        from tokenizers import Tokenizer
-
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = not added
-        names = tuple(t.content for t in plain.get_added_tokens_decoder().values()) if added else ()
-        slow = lambda text: plain.encode(text, add_special_tokens=False).ids
+        names = tuple(t.content for t in _plain(path, added).get_added_tokens_decoder().values()) if added else ()
+        slow = lambda text: _tokenizer(path, added).encode(text, add_special_tokens=False).ids
         sister = Path(path).with_suffix(".tiktoken")
         if sister.exists():
             import public_tokenizers
@@ -68,11 +66,26 @@ def encoder(path: str, added: bool = False):
                     return slow(text)
 
             _loaded[path, added] = encode
+            tidy()
         else:
             _loaded[path, added] = slow
     return _loaded[path, added]
 
 
+def _plain(path: str, added: bool):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = not added
+    return plain
+
+
+@lru_cache(2)
+def _tokenizer(path: str, added: bool):
+    """The file's own tokenizer, loaded by a worker only where a text asks for it."""
+    return _plain(path, added)
+
+
 def _cut(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, added=True)

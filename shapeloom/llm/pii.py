@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shapeloom.llm.kernels import tidy
+
 ROUNDS = 8
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _PATTERN = re.compile(
@@ -229,6 +231,10 @@ def _run(key: bytes):
             made = [(None, []) if t is None else replace(key, t) for t in batch.column(1).to_pylist()]
             own = [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], span)]
             yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=["doc_id", "text", "found", *batch.schema.names[2:]])
+            del made, own
+        # a worker that is used again for other work begins small
+        pseudonym.cache_clear()
+        tidy()
 
     return run
 
