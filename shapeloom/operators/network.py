@@ -126,6 +126,34 @@ def nearest(points: DataFrame, key: str, nodes: DataFrame, reach: float) -> Data
     return near.groupBy(key).agg(F.min(F.struct("d", "node")).alias("m")).select(key, "m.node", "m.d")
 
 
+def _with_nearest(points: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
+    """``points`` with ``m``, the nearest node (d, node) at most so many metres away; null without one."""
+    at = F.struct("id", "lat", "lon")
+    around = nodes.select(F.explode(cells_around(F.col("lat"), F.col("lon"), metres)).alias("cell"), at.alias("n"))
+    around = around.groupBy("cell").agg(F.collect_list("n").alias("ns"))
+    far = lambda n: haversine(F.col("lat"), F.col("lon"), n["lat"], n["lon"])
+    least = F.array_min(F.transform("ns", lambda n: F.struct(far(n).alias("d"), n["id"].alias("node"))))
+    met = points.withColumn("cell", own_cell(F.col("lat"), F.col("lon"), metres)).join(around, "cell", "left")
+    return met.withColumn("m", least).drop("cell", "ns").withColumn("m", F.when(F.col("m.d") <= metres, F.col("m")))
+
+
+def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float) -> tuple[DataFrame, DataFrame]:
+    """``points`` (lat, lon and any others) with node and d of the nearest node within ``reach``, and a scratch table.
+
+    For many points over few nodes: nodes are dealt to the cells around them and wait there as one array a cell, so
+    no pair of a point and a node becomes a row, and nothing is grouped by point. Most points find theirs within
+    ``first`` metres; only the others look as far as ``reach``. Of equally near nodes the smallest id is taken; nodes at
+    one place count as one, so that an array holds no more than the places of nine cells of the map. Points
+    without a node in reach or without coordinates are left out; repeated points all stay. The scratch table can be
+    discarded once the result is written.
+    """
+    places = nodes.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"))
+    near = written(_with_nearest(points, places, first), "snapped")
+    rest = _with_nearest(near.where("m is null").drop("m"), places, reach)
+    both = near.where("m is not null").unionByName(rest.where("m is not null"))
+    return both.select(*points.columns, "m.node", "m.d"), near
+
+
 def nearest_at_any_distance(points: DataFrame, key: str, nodes: DataFrame, reach: float, growth: float = 4.0) -> DataFrame:
     """(key, node, d): the nearest node at any distance. Points without a node in reach look again, farther away.
 

@@ -48,3 +48,34 @@ def test_reaches_of_all_sizes(spark):
     assert [tuple(r) for r in network.within(left, right, 600.0).select("i", "j").collect()] == [(0, 1)]
     near = network.nearest_at_any_distance(left.where("lat is not null"), "i", right.where("rlon is not null").select(F.col("j").alias("id"), F.col("rlat").alias("lat"), F.col("rlon").alias("lon")), 500.0)
     assert {r.i: r.node for r in near.collect()} == {0: 1, 1: 1}
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(24, 120.6), (60, 25), (89.99, 0), (-33, 179.999)])
+def test_nearest_of_many_against_all_pairs(spark, lat, lon):
+    """Points that look once, that look farther and that find nothing; nodes at one place, repeated points, no coordinates."""
+    rng, reach, first = random.Random(5), 600.0, 150.0
+    nodes = points(rng, lat, lon, 60, reach)
+    nodes = [*nodes, nodes[0], nodes[7]]
+    asked = [*points(rng, lat, lon, 150, reach * 1.5), nodes[0], nodes[7], nodes[7]]
+    rows = [*((f"p{i % 100}", i, *p) for i, p in enumerate(asked)), ("none", -1, None, 1.0)]
+    # the later a node the smaller its id, so that the smallest id at a place is not the first
+    table = spark.createDataFrame([(1000 - k, *p) for k, p in enumerate(nodes)] + [(1, None, None)], "id long, lat double, lon double")
+    found, scratch = network.nearest_of_many(spark.createDataFrame(rows, "key string, i long, lat double, lon double"), table, reach, first)
+    got = {(r.key, r.i): (r.node, round(r.d, 6)) for r in found.collect()}
+    want = {}
+    for i, p in enumerate(asked):
+        d, node = min((round(apart(p, q), 6), 1000 - k) for k, q in enumerate(nodes))
+        if d <= reach:
+            want[f"p{i % 100}", i] = node, d
+    assert {k: d for k, (_, d) in got.items()} == {k: d for k, (_, d) in want.items()} and 0 < len(want) < len(asked)
+    # at the pole itself all longitudes are one place, but for rounding
+    assert all(round(apart(asked[k[1]], nodes[1000 - node]), 6) == d for k, (node, d) in got.items()) and (lat > 89 or got == want)
+    assert any(d > first for _, d in want.values()) and (lat > 89 or got["p50", 150][0] == 1000 - 60)
+    network.discard(scratch)
+
+
+def test_nearest_of_many_without_rows(spark):
+    nothing = spark.createDataFrame([], "id long, lat double, lon double")
+    one = spark.createDataFrame([(1, 2.0, 3.0)], "id long, lat double, lon double")
+    for points_, nodes in ((nothing, one), (one, nothing), (nothing, nothing)):
+        assert network.nearest_of_many(points_.withColumnRenamed("id", "i"), nodes, 600.0, 150.0)[0].collect() == []
