@@ -57,12 +57,13 @@ def _with_least(pairs: DataFrame, n_pairs: int) -> tuple[DataFrame, DataFrame]:
     """``pairs`` (u, v) with m, the least v of each u; and the table that must be discarded afterwards.
 
     The minimum is combined before it is shuffled. A hub's minimum is broadcast, so its pairs stay where they are:
-    fewer than HUBS nodes can have more than one in HUBS of all pairs. All other nodes meet theirs in a shuffle.
+    fewer than HUBS nodes can have more than one in HUBS of all pairs. All other nodes meet theirs in a shuffle, never by a
+    broadcast, so that what a round sends to the driver does not grow with the graph.
     """
     least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
     is_hub = F.col("n") > n_pairs // HUBS
     hubs, others = least.where(is_hub).select("u", "m"), least.where(~is_hub).select("u", "m")
-    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u")
+    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others.hint("merge"), "u")
     return pairs.join(F.broadcast(hubs), "u").unionByName(rest), least
 
 
