@@ -44,6 +44,8 @@ BLOCK, GROUP, HUBS, GUESTS = 128, 8, 8, 1024
 CROWDED = 4
 #: Values that meet in one bucket, about: a bound of a task's memory at every size of the corpus.
 PER_BUCKET = 500_000
+#: Pairs that a task holds until it gives them.
+PAIRS = 1 << 20
 #: The table of common tokens: entries, entries of a chunk of it, and tokens among which a task looks for shared ones.
 ENTRIES, CHUNK, WINDOW = 1 << 22, 1 << 16, 1 << 21
 
@@ -211,11 +213,9 @@ def _signatures(shingle: int, num: int, den: int, buckets: int, common, batches)
     K.tidy()
 
 
-def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs (document, smallest document with the same part)."""
-    sig = np.concatenate([np.frombuffer(x, _U) for x in table.column("sig").to_pylist()])
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("doc").to_pylist()])
-    if key[0].as_py() < 0:
+def _meet(sig: np.ndarray, doc: np.ndarray, packed_pairs: bool) -> np.ndarray:
+    """The distinct pairs (document, smallest document with the same part) of one bucket."""
+    if packed_pairs:
         pairs = np.stack([doc, sig.view(np.int64)])
     else:
         order = np.lexsort((doc, sig >> _U(1)))
@@ -223,10 +223,46 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         begin, size = K.groups_of(sig >> _U(1))
         needed = np.repeat(np.bitwise_or.reduceat(sig & _U(1), begin), size) > 0
         pairs = np.stack([doc, np.repeat(doc[begin], size)])[:, needed]
-    pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-    del sig, doc
+    return np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (document, smallest document with the same part) of a task's buckets, which come one after another.
+
+    A pair that meets in several of them is given once, but for tasks with over PAIRS different pairs.
+    """
+    now, sigs, docs, found, n = None, [], [], [], 0
+
+    def close() -> None:
+        nonlocal n
+        if sigs:
+            found.append(_meet(np.concatenate(sigs), np.concatenate(docs), now < 0))
+            n += found[-1].shape[1]
+            sigs.clear()
+            docs.clear()
+
+    def given() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc", "pivot"])
+
+    for batch in batches:
+        for bucket, sig, doc in zip(batch.column("bucket").to_pylist(), batch.column("sig"), batch.column("doc"), strict=True):
+            if bucket != now:
+                close()
+                now = bucket
+                if n > PAIRS:
+                    found[:] = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                    n = found[0].shape[1]
+                    if n > PAIRS // 2:
+                        yield given()
+                        found.clear()
+                        n = 0
+            sigs.append(np.frombuffer(sig.as_py(), _U))
+            docs.append(np.frombuffer(doc.as_py(), np.int64))
+    close()
+    if found:
+        yield given()
     K.tidy()
-    return pa.table({"doc": pa.array(pairs[0]), "pivot": pa.array(pairs[1])})
 
 
 class _Sets:
@@ -384,8 +420,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     buckets = max(shuffle_partitions(spark), int(2.5 * tokens * (den - num) / num) // PER_BUCKET)
     common = spark.sparkContext.broadcast(common_tokens(docs, shingle))
     packed = docs.mapInArrow(partial(_signatures, shingle, num, den, buckets, common), "bucket int, sig binary, doc binary")
-    meetings = packed.groupBy("bucket").applyInArrow(_meet, "doc long, pivot long")
-    meetings = written(meetings.distinct(), "meetings")
+    # a task takes several buckets in turn: their number grows with the corpus, and most linked documents meet in most of them
+    parts = shuffle_partitions(spark)
+    dealt = packed.repartition(parts, F.expr(f"pmod(bucket, {parts})")).sortWithinPartitions("bucket")
+    meetings = written(dealt.mapInArrow(_meetings, "doc long, pivot long").distinct(), "meetings")
     home = written(_blocks(reps, connected_components(meetings, "doc", "pivot"), num, den), "blocks")
     # the documents of a cluster that most others met at; a few for each cluster, chosen by aggregation
     many = home.where("cls >= 0")

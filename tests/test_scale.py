@@ -39,3 +39,31 @@ def test_errors_of_many_outlines_at_once():
         want.append(outline.apart(scaled(a, a[0]), scaled(b, a[0])))
     columns = [pd.Series([x[:, k] for x in rows]) for rows in (lines, goals) for k in (0, 1)]
     assert outline._errors(24)(*columns).to_list() == pytest.approx(want, rel=1e-12, abs=1e-9)
+
+
+def test_districts_are_made_once(spark):
+    """What reads them reads a table, not the making of roads again."""
+    from shapeloom.plans.element_queries import districts
+
+    assert getattr(districts(spark, "/root/testdata/sf0.001"), "written_to", None)
+
+
+def test_only_hubs_are_broadcast(spark):
+    from shapeloom.operators import components
+
+    pairs = spark.range(400).selectExpr("id div 2 as u", "id as v")
+    near, scratch = components._with_least(pairs, 400)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 2 and near.count() == 400
+    components.discard(scratch)
+
+
+def test_a_pair_that_meets_in_several_buckets_is_given_once():
+    import pyarrow as pa
+
+    from shapeloom.llm import jaccard_join as J
+
+    sig, doc = np.array([9, 9], np.uint64).tobytes(), np.array([5, 2], np.int64).tobytes()
+    rows = pa.RecordBatch.from_arrays([pa.array([-3, 1, 1, 4], pa.int32()), pa.array([np.array([2], np.int64).tobytes(), sig, sig, sig]), pa.array([np.array([5], np.int64).tobytes(), doc, doc, doc])], names=["bucket", "sig", "doc"])
+    assert [b.to_pylist() for b in J._meetings(iter([rows, rows]))] == [[{"doc": 5, "pivot": 2}]]
+    assert list(J._meetings(iter([]))) == []
