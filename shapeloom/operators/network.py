@@ -73,7 +73,8 @@ def largest_component(edges: DataFrame) -> DataFrame:
     """Edges of the component with the most nodes; of equal ones that with the smallest node."""
     label = components(edges)
     best = label.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    return edges.join(label.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+    kept = label.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a"))
+    return edges.join(kept.hint("merge"), "a", "left_semi")
 
 
 def _columns(cy: Column, metres: float) -> Column:
@@ -231,11 +232,11 @@ def shortest_costs(edges: DataFrame, source: int, per_cell: int = PER_CELL) -> D
         active = front.select("cell").distinct()
         known = best.join(active, "cell", "left_semi").select("node", "cell", "cost", F.lit(False).alias("fresh")).unionAll(front.select("node", "cell", "cost", F.lit(True)))
         better = written(inner.join(active, "cell", "left_semi").groupBy("cell").cogroup(known.groupBy("cell")).applyInPandas(_relaxed, "node long, cell int, cost double"), "better")
-        old, best = best, written(best.join(better, "node", "left_anti").select(better.columns).unionByName(better), "best")
+        old, best = best, written(best.join(better.hint("merge"), "node", "left_anti").select(better.columns).unionByName(better), "best")
         discard(old)
-        reached = cross.join(better.select(F.col("node").alias("u"), F.col("cost").alias("have")), "u").groupBy(F.col("v").alias("node"), F.col("other").alias("cell")).agg(F.min(F.col("have") + F.col("cost")).alias("cost"))
+        reached = cross.hint("merge").join(better.select(F.col("node").alias("u"), F.col("cost").alias("have")), "u").groupBy(F.col("v").alias("node"), F.col("other").alias("cell")).agg(F.min(F.col("have") + F.col("cost")).alias("cost"))
         known = best.select("node", F.col("cost").alias("old"))
-        old, front = front, written(reached.join(known, "node", "left").where("old is null or cost < old").select("node", "cell", "cost"), "front")
+        old, front = front, written(reached.join(known.hint("merge"), "node", "left").where("old is null or cost < old").select("node", "cell", "cost"), "front")
         discard(old)
         discard(better)
         if front.isEmpty():
