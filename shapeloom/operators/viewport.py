@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.functions.geo import enu, haversine
+from shapeloom.functions.geo import RADIUS, enu, haversine
 from shapeloom.operators.network import own_cell
 from shapeloom.operators.notes import MAIN_CLASSES
 
@@ -14,6 +16,8 @@ WIDTH, SHAPE, MARGIN, HEAD, MORE = 1600, 0.86, 90, 130, 1.15
 HEIGHT = int(WIDTH * SHAPE)
 #: Metres of the cells in which roads meet pictures.
 CELL = 1_000.0
+#: Degrees of latitude between the places at which a view looks for its cells: below a cell's height, so that no band is jumped over.
+STEP = 0.99 * math.degrees(CELL / RADIUS)
 
 
 def views(points: DataFrame) -> DataFrame:
@@ -38,14 +42,14 @@ def roads_in_view(shown: DataFrame, roads: DataFrame) -> DataFrame:
     roads: (a, b, alat, alon, blat, blon, hw). A view is dealt to the cells that it covers, so roads meet views by an
     equi-join; a view across 180 degrees or around a pole shows what lies between its west and east.
     """
-    degrees = lambda c: F.degrees(F.col(c) / 6371008.8)
-    wide = degrees("half") / F.greatest(F.cos(F.radians("lat0")), F.lit(1e-6))
-    step = CELL / 111_000.0
-    count = lambda half: F.ceil(2 * half / step).cast("int")
-    lat = F.explode(F.transform(F.sequence(F.lit(0), count(degrees("half"))), lambda k: F.col("lat0") - degrees("half") + k * step))
+    degrees = lambda c: F.degrees(F.col(c) / RADIUS)
+    # the longitudes whose great circle along lat0 is as long as half
+    wide = 2 * F.degrees(F.asin(F.least(F.sin(F.least(F.col("half") / (2 * RADIUS), F.lit(math.pi / 2))) / F.greatest(F.cos(F.radians("lat0")), F.lit(1e-6)), F.lit(1.0))))
+    count = lambda half: F.ceil(2 * half / STEP).cast("int")
+    lat = F.explode(F.transform(F.sequence(F.lit(0), count(degrees("half"))), lambda k: F.col("lat0") - degrees("half") + k * STEP))
     rows = shown.withColumn("y", lat)
-    # cells are as wide as CELL at their own latitude; a step never jumps over one
-    across = step / F.greatest(F.cos(F.radians(F.abs("y") + step * 2)), F.lit(1e-6))
+    # cells are at least as wide as CELL at their own latitude; a step never jumps over one
+    across = STEP / F.greatest(F.cos(F.radians("y")), F.lit(1e-6))
     lon = F.explode(F.transform(F.sequence(F.lit(0), F.ceil(2 * wide / across).cast("int") + 1), lambda k: F.col("lon0") - wide + (k - 0.5) * across))
     cells = rows.withColumn("x", lon).withColumn("cell", own_cell(F.col("y"), F.col("x"), CELL)).drop("x", "y").distinct()
     met = roads.withColumn("cell", own_cell(F.col("alat"), F.col("alon"), CELL)).join(cells, "cell")

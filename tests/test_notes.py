@@ -62,3 +62,13 @@ def test_pictures_show_the_roads_around(spark):
     middle = next(r for r in got.values() if abs(rows[r.a][2] - p.lat0) < 1e-12 and abs(rows[r.a][3] - p.lon0) < 1e-12)
     assert (middle.ax, middle.ay) == pytest.approx((viewport.WIDTH / 2, viewport.HEAD + (viewport.HEIGHT - viewport.HEAD) / 2)) == (middle.bx, middle.by)
     assert viewport.roads_in_view(viewport.views(points.where(F.lit(False))), roads).collect() == []
+
+
+def test_a_view_misses_no_band_of_cells(spark):
+    """Roads along a meridian under many views: as all pairs by their distance."""
+    at = [k * 0.002 for k in range(500)]
+    roads = spark.createDataFrame([(k, -k, y, 10.0, y, 10.0, "path") for k, y in enumerate(at)], "a long, b long, alat double, alon double, blat double, blon double, hw string")
+    middles = [0.3 + k * 0.0013 for k in range(300)]
+    shown = spark.createDataFrame([(k, y, 10.0, 1.0, 8000.0) for k, y in enumerate(middles)], "key long, lat0 double, lon0 double, scale double, half double")
+    got = {(r.key, r.a) for r in viewport.roads_in_view(shown, roads).select("key", "a").collect()}
+    assert got == {(k, a) for k, y in enumerate(middles) for a, x in enumerate(at) if abs(math.radians(x - y)) * 6371008.8 <= 8000}
