@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapeloom.functions.geo import haversine
+from shapeloom.functions.geo import distance
 from shapeloom.operators.network import EXCLUDED, edge_cost, road_safety
 
 # Elements that count as places, by type, tag, and what its value holds (None: any value).
@@ -68,7 +68,7 @@ def roads(elements: DataFrame, box: tuple[float, float, float, float] | None = N
     ordered = hops.withColumns({
         "a": F.least("node", "next"), "b": F.greatest("node", "next"), "p": F.when(forth, F.col("at")).otherwise(F.col("then")), "q": F.when(forth, F.col("then")).otherwise(F.col("at")),
     })
-    measured = ordered.withColumn("length", haversine("p.lat", "p.lon", "q.lat", "q.lon")).where("length > 0").withColumn("cost", edge_cost(F.col("length"), F.col("safety")))
+    measured = ordered.withColumn("length", distance("p.lat", "p.lon", "q.lat", "q.lon")).where("length > 0").withColumn("cost", edge_cost(F.col("length"), F.col("safety")))
     kept = F.struct("length", "cost", "safety", "name", "hw", "lit", "way")
     return measured.groupBy("a", "b").agg(F.min_by(kept, F.struct("cost", "way", "pos")).alias("road")).select("a", "b", "road.*")
 
