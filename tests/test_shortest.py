@@ -48,3 +48,23 @@ def test_queries_cover_the_whole_network(spark):
     for r in paths:
         assert r.path[0] == 0 and r.path[-1] == r.node
         assert abs(sum(cost[p] for p in zip(r.path, r.path[1:])) - r.cost) < 1e-9 * (1 + r.cost)
+
+
+def test_whole_paths_are_not_written(spark):
+    """A long line: what is written grows with its nodes, not with all paths to them, which are half a million ids."""
+    n, step = 1_000, 8
+    rows = spark.range(n - 1).selectExpr("id as a", "id + 1 as b", "1d as cost")
+    tables, real = [], network.written
+
+    def seen(df, label):
+        tables.append((label, real(df, label)))
+        return tables[-1][1]
+
+    network.written = seen
+    try:
+        paths = network.shortest_paths(rows, 0, stretch=step)
+    finally:
+        network.written = real
+    assert {r.node: r.path for r in paths.collect()} == {k: list(range(k + 1)) for k in range(n)}
+    ids = sum(t.selectExpr("sum(size(path))").first()[0] or 0 for label, t in tables if "path" in t.columns)
+    assert ids < n * n / 2 / 2
