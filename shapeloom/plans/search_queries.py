@@ -27,7 +27,9 @@ def io8_io9_io10_network_codec(spark, d):
 def k10_k17_trace(spark, d):
     """K10 to K17 IO7: outlines of rasters that are drawn from the vectors' values."""
     px = F.transform(F.sequence(F.lit(0), F.lit(32 * 32 - 1)), lambda k: F.when(F.pow(k % 32 - 16, F.lit(2)) + F.pow(F.floor(k / 32) - 16, F.lit(2)) < 60 + 60 * F.abs(F.get("embedding", (k % 8).cast("int")).cast("double")), 0).otherwise(255))
-    image = view(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.lit(32).alias("w"), F.lit(32).alias("h"), F.unhex(F.array_join(F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("px"))
+    # an image takes far longer than its vector to read, so the rows of a file are dealt to all tasks
+    dealt = view(spark, d, "embeddings").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    image = dealt.select(F.col("vec_id").alias("key"), F.lit(32).alias("w"), F.lit(32).alias("h"), F.unhex(F.array_join(F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("px"))
     return raster.trace(image)
 
 

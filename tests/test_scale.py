@@ -67,3 +67,26 @@ def test_a_pair_that_meets_in_several_buckets_is_given_once():
     rows = pa.RecordBatch.from_arrays([pa.array([-3, 1, 1, 4], pa.int32()), pa.array([np.array([2], np.int64).tobytes(), sig, sig, sig]), pa.array([np.array([5], np.int64).tobytes(), doc, doc, doc])], names=["bucket", "sig", "doc"])
     assert [b.to_pylist() for b in J._meetings(iter([rows, rows]))] == [[{"doc": 5, "pivot": 2}]]
     assert list(J._meetings(iter([]))) == []
+
+
+def test_outlines_are_cut_once_for_all_halvings(monkeypatch):
+    """One walk over the cuts gives what a walk for each eps gave."""
+    from shapeloom.operators import raster
+
+    def plain(points, eps):
+        if len(points) < 3:
+            return points.tolist()
+        line, span = points[-1] - points[0], points[1:-1] - points[0]
+        size = float(np.hypot(*line))
+        away = np.abs(line[0] * span[:, 1] - line[1] * span[:, 0]) / size if size else np.hypot(*span.T)
+        k = int(np.argmax(away))
+        return plain(points[: k + 2], eps)[:-1] + plain(points[k + 1 :], eps) if away[k] > eps else [points[0].tolist(), points[-1].tolist()]
+
+    rng = np.random.default_rng(5)
+    lines = [np.cumsum(rng.integers(-1, 2, (n, 2)), axis=0).astype(float) for n in (2, 3, 40, 200)] + [np.zeros((5, 2))]
+    for line in [*lines, np.vstack([lines[3], lines[3][:1]])]:
+        for eps in (0.0, 0.5, 1.0, 3.3):
+            assert raster.simplify(line, eps).tolist() == plain(line, eps)
+    walks, real = [], np.argmax
+    monkeypatch.setattr(raster.np, "argmax", lambda x: walks.append(1) or real(x))
+    assert abs(len(raster.to_points(lines[3], 40)) - 40) <= 10 and len(walks) < len(lines[3])
