@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -93,15 +94,15 @@ def _height(metres: float) -> float:
     return math.degrees(metres / RADIUS) * (1 + SLACK)
 
 
-def _cell(cy: Column, lon: Column, metres: float, dx: int = 0) -> Column:
-    count = _columns(cy, metres)
-    own = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * count / 360.0)
-    return F.struct(cy.alias("cy"), F.pmod(own + dx, count).alias("cx"))
+def _at(lon: Column, count: Column, dx: int = 0) -> Column:
+    """The column of a longitude, or one so many beside it, in a band of ``count`` cells."""
+    return F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * count / 360.0) + dx, count)
 
 
 def own_cell(lat: Column, lon: Column, metres: float) -> Column:
     """(cy, cx): the cell of a point in a grid that suits distances of so many metres, at every latitude and longitude."""
-    return _cell(F.floor(lat / _height(metres)), lon, metres)
+    cy = F.floor(lat / _height(metres))
+    return F.struct(cy.alias("cy"), _at(lon, _columns(cy, metres)).alias("cx"))
 
 
 def cells_around(lat: Column, lon: Column, metres: float) -> Column:
@@ -111,7 +112,10 @@ def cells_around(lat: Column, lon: Column, metres: float) -> Column:
     near a pole a band is one cell. Columns are counted around the earth, so 180 and -180 degrees meet.
     """
     cy = F.floor(lat / _height(metres))
-    return F.array_distinct(F.array(*(_cell(cy + dy, lon, metres, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
+    # the number of columns is worked out once a band: nine cells on their own are too much code to be compiled
+    bands = F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda dy: F.struct((cy + dy).alias("cy"), _columns(cy + dy, metres).alias("n")))
+    cells = F.transform(bands, lambda band: F.array(*(F.struct(band["cy"].alias("cy"), _at(lon, band["n"], dx).alias("cx")) for dx in (-1, 0, 1))))
+    return F.array_distinct(F.flatten(cells))
 
 
 def within(left: DataFrame, right: DataFrame, metres: float, names=("lat", "lon", "rlat", "rlon"), spread: str = "left") -> DataFrame:
@@ -130,18 +134,26 @@ def nearest(points: DataFrame, key: str, nodes: DataFrame, reach: float) -> Data
     return near.groupBy(key).agg(F.min(F.struct("d", "node")).alias("m")).select(key, "m.node", "m.d")
 
 
-def _with_nearest(points: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
-    """``points`` with ``m``, the nearest node (d, node) at most so many metres away; null without one."""
-    at = F.struct("id", "lat", "lon")
-    around = nodes.select(F.explode(cells_around(F.col("lat"), F.col("lon"), metres)).alias("cell"), at.alias("n"))
-    around = around.groupBy("cell").agg(F.collect_list("n").alias("ns"))
+def one_of_each_place(nodes: DataFrame) -> DataFrame:
+    """(lat, lon, id): nodes at one place count as one, the smallest id; those without coordinates are left out."""
+    return nodes.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"))
+
+
+def by_cell(places: DataFrame, metres: float) -> DataFrame:
+    """(cell, ns): the nodes (id, lat, lon) that may be so many metres from a point of a cell, as one array."""
+    around = places.select(F.explode(cells_around(F.col("lat"), F.col("lon"), metres)).alias("cell"), F.struct("id", "lat", "lon").alias("n"))
+    return around.groupBy("cell").agg(F.collect_list("n").alias("ns"))
+
+
+def _with_nearest(points: DataFrame, around: DataFrame, metres: float) -> DataFrame:
+    """``points`` with ``m``, the nearest node (d, node) at most so many metres away; null without one. around: by_cell()."""
     far = lambda n: haversine(F.col("lat"), F.col("lon"), n["lat"], n["lon"])
     least = F.array_min(F.transform("ns", lambda n: F.struct(far(n).alias("d"), n["id"].alias("node"))))
     met = points.withColumn("cell", own_cell(F.col("lat"), F.col("lon"), metres)).join(around, "cell", "left")
     return met.withColumn("m", least).drop("cell", "ns").withColumn("m", F.when(F.col("m.d") <= metres, F.col("m")))
 
 
-def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float) -> tuple[DataFrame, DataFrame]:
+def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float, waiting: Callable[[float], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``points`` (lat, lon and any others) with node and d of the nearest node within ``reach``, and a scratch table.
 
     For many points over few nodes: nodes are dealt to the cells around them and wait there as one array a cell, so
@@ -150,10 +162,19 @@ def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: fl
     one place count as one, so that an array holds no more than the places of nine cells of the map. Points
     without a node in reach or without coordinates are left out; repeated points all stay. The scratch table can be
     discarded once the result is written.
+
+    waiting: gives by_cell() of the nodes where it is kept for many calls. Then only arrays of cells with points are read on.
     """
-    places = nodes.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"))
-    near = written(_with_nearest(points, places, first), "snapped")
-    rest = _with_nearest(near.where("m is null").drop("m"), places, reach)
+    places = one_of_each_place(nodes)
+
+    def look(asked: DataFrame, metres: float) -> DataFrame:
+        if waiting is None:
+            return _with_nearest(asked, by_cell(places, metres), metres)
+        cells = asked.select(own_cell(F.col("lat"), F.col("lon"), metres).alias("cell")).distinct()
+        return _with_nearest(asked, waiting(metres).join(cells, "cell", "left_semi"), metres)
+
+    near = written(look(points, first), "snapped")
+    rest = look(near.where("m is null").drop("m"), reach)
     both = near.where("m is not null").unionByName(rest.where("m is not null"))
     return both.select(*points.columns, "m.node", "m.d"), near
 
@@ -166,11 +187,11 @@ def nearest_at_any_distance(points: DataFrame, key: str, nodes: DataFrame, reach
     earth. Without nodes there are no rows; points without coordinates have none.
     """
     whole = "lat is not null and lon is not null"
-    places = written(nodes.where(whole).groupBy("lat", "lon").agg(F.min("id").alias("id")), "places")
+    places = written(one_of_each_place(nodes), "places")
     left = written(points.where(whole).select("lat", "lon").distinct(), "left")
     found = []
     while True:
-        near = written(_with_nearest(left, places, reach), "near")
+        near = written(_with_nearest(left, by_cell(places, reach), reach), "near")
         found.append(near.where("m is not null"))
         left = near.where("m is null").drop("m")
         if reach > 2.1e7 or left.isEmpty():

@@ -16,14 +16,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.geo import RADIUS, haversine
-from shapeloom.operators.network import cells_around, own_cell
+from shapeloom.operators.network import by_cell, cells_around, one_of_each_place, own_cell
 from shapeloom.operators.staging import discard, written
 
 #: Metres of a map cell's side, roads around a cell that one task takes at most, and pairs of one task.
@@ -38,7 +38,8 @@ _LABEL = "pair long, node long, cell int, cost double, metres double, prev long,
 
 @dataclass
 class Network:
-    """Nodes (id, lat, lon), roads (a, b, length, cost and both ends' places), roads a map cell, and cells of the network.
+    """Nodes (id, lat, lon), roads (a, b, length, cost, both ends' places and the map cells around them), roads a map cell,
+    and cells of the network.
 
     discard() deletes these tables.
     """
@@ -50,10 +51,18 @@ class Network:
     places: DataFrame
     attributes: DataFrame
     side: float
+    arrays: dict[float, DataFrame] = field(default_factory=dict)
+
+    def waiting(self, metres: float) -> DataFrame:
+        """(cell, ns): the nodes as points of a cell find them within so many metres; written where first asked for."""
+        if metres not in self.arrays:
+            self.arrays[metres] = written(by_cell(one_of_each_place(self.nodes), metres), "waiting")
+        return self.arrays[metres]
 
     def discard(self) -> None:
-        for table in (self.nodes, self.roads, self.around, self.arcs, self.places, self.attributes):
+        for table in (self.nodes, self.roads, self.around, self.arcs, self.places, self.attributes, *self.arrays.values()):
             discard(table)
+        self.arrays.clear()
 
 
 def _interleaved(lat: Column, lon: Column, bits: int = 20) -> Column:
@@ -78,8 +87,8 @@ def prepare(nodes: DataFrame, roads: DataFrame, side: float = SIDE, per_cell: in
     end = lambda x: nodes.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon"))
     placed = roads.select(*(F.col(c).cast("long").alias(c) for c in "ab"), *(F.col(c).cast("double").alias(c) for c in ("length", "cost"))).where("a <> b").join(end("a"), "a").join(end("b"), "b")
     usable = (F.col("length") > 0) & (F.col("cost") >= haversine("alat", "alon", "blat", "blon") * _LESS)
-    placed = written(placed.where(usable).select("a", "b", "length", "cost", "alat", "alon", "blat", "blon"), "roads")
-    around = written(placed.select(F.explode(_around(side)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")), "around")
+    placed = written(placed.where(usable).select("a", "b", "length", "cost", "alat", "alon", "blat", "blon", _around(side).alias("cells")), "roads")
+    around = written(placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")), "around")
     count = max(1, -(-2 * placed.count() // per_cell))
     dealt = nodes.withColumn("z", _interleaved(F.col("lat"), F.col("lon"))).repartitionByRange(count, "z", "id")
     places = written(dealt.select(F.col("id").alias("node"), F.spark_partition_id().alias("cell"), "lat", "lon"), "places")
@@ -167,8 +176,10 @@ def _within_cells(pairs: DataFrame, net: Network, directed: bool, most: int) ->
     own = own_cell(F.col("alat"), F.col("alon"), net.side)
     fits = pairs.where(F.col("straight") <= net.side).select("a", "b", "straight", own.alias("cell"))
     busy = fits.groupBy("cell").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).join(net.around.where(F.col("n") <= most), "cell").select("cell", "parts")
+    # a table of its own, so that its size is known: only roads of these cells go on
+    busy = written(busy, "busy")
     fits = fits.join(busy, "cell").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
-    roads = net.roads.withColumn("cell", F.explode(_around(net.side))).join(busy, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    roads = net.roads.withColumn("cell", F.explode("cells")).join(busy, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     roads = roads.select("cell", "part", "a", "b", "length", "cost", "alat", "alon", "blat", "blon")
     return fits.groupBy("cell", "part").cogroup(roads.groupBy("cell", "part")).applyInPandas(_near(net.side, directed), _FOUND)
 

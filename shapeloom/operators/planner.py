@@ -51,21 +51,22 @@ def control_points(targets: DataFrame) -> DataFrame:
     return step.select("key", "i", "j", between("lat", "lat2"), between("lon", "lon2"))
 
 
-def snap(points: DataFrame, nodes: DataFrame) -> DataFrame:
+def snap(points: DataFrame, net: Network) -> DataFrame:
     """(key, stops, snap_mean): the nodes that a candidate's control points snap to, as a closed ring; a table of its own.
 
     Repeats in a row are dropped. A candidate is left out with fewer than four stops, with a mean distance above 260 m
     or a single one above 416 m.
     """
-    points = points.select("key", "i", "j", "lat", "lon")
-    near, scratch = nearest_of_many(points, nodes, MAX_SNAP, FIRST_LOOK)
+    points = written(points.select("key", "i", "j", "lat", "lon"), "points")
+    near, scratch = nearest_of_many(points, net.nodes, MAX_SNAP, FIRST_LOOK, net.waiting)
     total = points.groupBy("key").agg(F.count("*").alias("total"))
     seen = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "j", "node"))).alias("xs"), F.avg("d").alias("snap_mean"), F.count("*").alias("n"))
     stops = F.transform(F.filter("xs", lambda x, k: (k == 0) | (F.get("xs", k - 1)["node"] != x["node"])), lambda x: x["node"])
     good = seen.join(total, "key").where((F.col("n") == F.col("total")) & (F.col("snap_mean") <= MEAN_SNAP)).select("key", "snap_mean", stops.alias("stops"))
     ring = F.when(F.get("stops", F.lit(0)) == F.element_at("stops", -1), F.col("stops")).otherwise(F.concat("stops", F.slice("stops", 1, 1)))
     rings = written(good.where(F.size("stops") >= 4).select("key", ring.alias("stops"), "snap_mean"), "stops")
-    discard(scratch)
+    for table in (scratch, points):
+        discard(table)
     return rings
 
 
@@ -76,7 +77,7 @@ def routes(candidates: DataFrame, shapes: DataFrame, net: Network) -> tuple[Data
     joined paths are collapsed.
     """
     targets = place(candidates, shapes)
-    ring = snap(control_points(targets), net.nodes)
+    ring = snap(control_points(targets), net)
     hops = F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda k: F.struct(F.get("stops", k).alias("a"), F.get("stops", k + 1).alias("b")))
     legs = ring.select("key", "snap_mean", F.posexplode(hops).alias("leg", "hop")).select("key", "snap_mean", "leg", "hop.*").where("a <> b")
     paths = route_legs(legs, net)
@@ -179,9 +180,9 @@ def _scored(tried: DataFrame, shapes: DataFrame, net: Network) -> DataFrame:
 
 
 def _moved(live: DataFrame, moves: list[tuple], shapes: DataFrame, net: Network) -> DataFrame:
-    """(job, tries): the scores of all moves (east, north, turn, factor of size) by number that can be built."""
-    move = F.posexplode(F.array(*(F.struct(*(v.alias(n) for v, n in zip(t, "xyrs", strict=True))) for t in moves)))
-    tried = live.select("job", "shape", *PLACE, "step_m", "step_r", "step_s", move.alias("move", "t"))
+    """(job, tries): the scores of all moves (number, east, north, turn, factor of size) by number that can be built."""
+    move = F.explode(F.array(*(F.struct(*(v.alias(n) for v, n in zip(t, "kxyrs", strict=True))) for t in moves)))
+    tried = live.select("job", "shape", *PLACE, "step_m", "step_r", "step_s", move.alias("t")).withColumn("move", F.col("t.k"))
     lat, lon = enu_inverse("clat", "clon", F.col("t.x"), F.col("t.y"))
     at = {"clat": lat, "clon": lon, "size_m": F.col("size_m") * F.col("t.s"), "rot": F.col("rot") + F.col("t.r")}
     scored = _scored(tried.select(F.concat_ws("/", "job", "move").alias("key"), "job", "shape", *(v.alias(k) for k, v in at.items()), "move"), shapes, net)
@@ -194,46 +195,49 @@ def _moved(live: DataFrame, moves: list[tuple], shapes: DataFrame, net: Network)
 def climb(best: DataFrame, shapes: DataFrame, net: Network, rounds: int = 9) -> DataFrame:
     """Hill climbing: a job takes each move that improves it at once, in the order centre, rotation, size.
 
-    The six moves of the centre start from the round's first place, so all jobs try them together; turns and sizes start
-    from what the centre came to, and all that the order can lead to is measured together: a larger size may be followed
-    by a smaller one, a turn by no other. A job whose round brings nothing goes on with smaller steps, and stops once a
-    step is below 40 m.
+    The six moves of the centre start from the round's first place; turns and sizes start from what the centre came to.
+    All that this order can lead to is measured together, since a round costs far more than its candidates: each of the
+    seven places with each turn and size, where a larger size may be followed by a smaller one, a turn by no other. A job
+    whose round brings nothing goes on with smaller steps, and stops once a step is below 40 m.
     """
     state = best.withColumns({n: F.lit(v) for n, v in zip(("step_m", "step_r", "step_s"), STEPS, strict=True)})
     columns = [c for c in best.columns if c not in ("job",)]
-    now, zero, one = F.struct(*columns), F.lit(0.0), F.lit(1.0)
+    zero = F.lit(0.0)
     m, r, s = F.col("step_m"), F.col("step_r"), F.col("step_s")
-    centres = [(m, zero, zero, one), (-m, zero, zero, one), (zero, m, zero, one), (zero, -m, zero, one), (m, m, zero, one), (-m, -m, zero, one)]
-    turns, sizes = (zero, r, -r), (one, 1 + s, 1 - s, (1 + s) * (1 - s))
-    others = [(zero, zero, t, f) for t in turns for f in sizes]
+    centres = [(zero, zero), (m, zero), (-m, zero), (zero, m), (zero, -m), (m, m), (-m, -m)]
+    turns, sizes = (zero, r, -r), (F.lit(1.0), 1 + s, 1 - s, (1 + s) * (1 - s))
+    ways = [(*c, t, f) for c in centres for t in turns for f in sizes]
+    moves = [(F.lit(k), *way) for k, way in enumerate(ways)][1:]
+
+    def gains(cur, other):
+        return F.coalesce(other["score"] > cur["score"], F.lit(False))
 
     def better(cur, other):
-        return F.when(F.coalesce(other["score"] > cur["score"], F.lit(False)), other).otherwise(cur)
+        return F.when(gains(cur, other), other).otherwise(cur)
 
     for _ in range(rounds):
         live = state.where(F.col("step_m") >= ENOUGH)
         if live.isEmpty():
             break
-        tried = _moved(live, centres, shapes, net)
-        cur = now
-        for k in range(len(centres)):
-            cur = better(cur, F.col("tries")[k])
-        middle = written(state.join(tried, "job", "left").select("job", cur.alias("cur"), "step_m", "step_r", "step_s", F.col("score").alias("before")), "middle")
-        discard(tried)
-        live = middle.where(F.col("step_m") >= ENOUGH).select("job", "cur.*", "step_m", "step_r", "step_s")
-        tried = _moved(live, others[1:], shapes, net)
-        joined = middle.join(tried, "job", "left")
-        at = lambda turn, size: F.col("tries")[turn * 4 + size - 1]
-        gains = lambda cur, other: F.coalesce(other["score"] > cur["score"], F.lit(False))
+        tried = _moved(live, moves, shapes, net)
+        step = len(turns) * len(sizes)
+        start = F.struct(F.struct(*columns).alias("cur"), F.lit(0).alias("base"))
+        # a move of the centre counts against what the moves before it came to
+        moved = F.aggregate(
+            F.array(*(F.lit(k * step) for k in range(1, len(centres)))), start,
+            lambda a, k: F.when(gains(a["cur"], F.col("tries")[k]), F.struct(F.col("tries")[k].alias("cur"), k.alias("base"))).otherwise(a),
+        )
+        joined = state.join(tried, "job", "left").select("job", "tries", "step_m", "step_r", "step_s", F.col("score").alias("before"), moved.alias("at")).select("*", "at.*")
+        at = lambda turn, size: F.col("tries")[F.col("base") + (turn * len(sizes) + size)]
         turn = F.when(gains(F.col("cur"), at(1, 0)), 1).when(gains(F.col("cur"), at(2, 0)), 2).otherwise(0)
-        joined = joined.withColumn("turn", turn).withColumn("cur", F.when(F.col("turn") == 1, at(1, 0)).when(F.col("turn") == 2, at(2, 0)).otherwise(F.col("cur")))
-        size = lambda k: F.when(F.col("turn") == 0, at(0, k)).when(F.col("turn") == 1, at(1, k)).otherwise(at(2, k))
+        joined = joined.withColumn("turn", turn).withColumn("cur", F.when(F.col("turn") > 0, at(F.col("turn"), 0)).otherwise(F.col("cur")))
+        size = lambda k: at(F.col("turn"), k)
         joined = joined.withColumn("larger", gains(F.col("cur"), size(1)))
         joined = joined.withColumn("cur", F.when(F.col("larger"), better(size(1), size(3))).otherwise(better(F.col("cur"), size(2))))
         gained = F.col("cur.score") > F.col("before")
         after = (F.when(gained, F.col(n)).otherwise(F.col(n) * f).alias(n) for n, f in zip(("step_m", "step_r", "step_s"), LESS, strict=True))
         old, state = state, written(joined.select("job", "cur.*", *after), "state")
-        for table in (old, tried, middle):
+        for table in (old, tried):
             discard(table)
     return state.drop("step_m", "step_r", "step_s")
 

@@ -4,34 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.operators.staging import discard, written
 
 #: A function from (key, side, size) to (key, side, size, km); a size that cannot be built gives no row or a null.
 Measure = Callable[[DataFrame], DataFrame]
+#: Halvings that are measured together.
+AT_ONCE = 4
+
+
+def _halves(depth: int) -> list[tuple[int, Column]]:
+    """The middles of (lo, hi) and of the halves that so many halvings can lead to: numbers 2n and 2n + 1 follow n."""
+    made, spans = [], {1: (F.col("lo"), F.col("hi"))}
+    for n in range(1, 1 << depth):
+        lo, hi = spans.pop(n)
+        mid = (lo + hi) / 2
+        made.append((n, mid))
+        spans |= {2 * n: (lo, mid), 2 * n + 1: (mid, hi)}
+    return made
 
 
 def bisect(goals: DataFrame, measure: Measure, rounds: int = 16) -> DataFrame:
     """(key, side, size): the tried size whose length is nearest to ``goal``, by halving (lo, hi) of each row.
 
     goals: (key, side, goal, lo, hi, start). A size that is too short or cannot be built raises lo. Of equally near
-    sizes the first stays; where no size can be built, ``start`` is returned.
+    sizes the first stays; where no size can be built, ``start`` is returned. AT_ONCE halvings are measured together, all
+    sizes that they can lead to: a measure costs far more than its sizes. Only those on the way of halving count.
     """
-    state = goals.withColumn("size", F.col("start")).withColumn("off", F.lit(1e9)).drop("start")
-    for _ in range(rounds):
-        state = state.withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
-        km = measure(state.select("key", "side", F.col("mid").alias("size"))).select("key", "side", "km")
-        off = F.abs(F.col("km") - F.col("goal"))
-        nearer, short = F.coalesce(off < F.col("off"), F.lit(False)), F.coalesce(F.col("km") < F.col("goal"), F.lit(True))
-        old, state = state, written(
-            state.join(km, ["key", "side"], "left").select(
-                "key", "side", "goal", F.when(short, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(short, F.col("hi")).otherwise(F.col("mid")).alias("hi"),
-                F.when(nearer, F.col("mid")).otherwise(F.col("size")).alias("size"), F.when(nearer, off).otherwise(F.col("off")).alias("off"),
-            ),
-            "bisect",
-        )
+    state = written(goals.withColumn("size", F.col("start")).withColumn("off", F.lit(1e9)).drop("start"), "bisect")
+    for done in range(0, rounds, AT_ONCE):
+        depth = min(AT_ONCE, rounds - done)
+        tried = state.select("key", "side", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), mid.alias("mid")) for n, mid in _halves(depth)))).alias("t"))
+        # a row for each size: its number stands before its side
+        km = measure(tried.select("key", F.concat_ws(":", "t.n", "side").alias("side"), F.col("t.mid").alias("size"))).where("km is not null")
+        n, side = F.substring_index("side", ":", 1).cast("int"), F.expr("substring(side, locate(':', side) + 1)")
+        kms = km.groupBy("key", side.alias("side")).agg(F.map_from_entries(F.collect_list(F.struct(n.alias("n"), F.col("km").cast("double").alias("km")))).alias("kms"))
+
+        def halve(a: Column, _: Column) -> Column:
+            mid, km = (a["lo"] + a["hi"]) / 2, F.col("kms")[a["n"]]
+            off = F.abs(km - F.col("goal"))
+            nearer, short = F.coalesce(off < a["off"], F.lit(False)), F.coalesce(km < F.col("goal"), F.lit(True))
+            return F.struct(
+                F.when(short, mid).otherwise(a["lo"]).alias("lo"), F.when(short, a["hi"]).otherwise(mid).alias("hi"), F.when(nearer, mid).otherwise(a["size"]).alias("size"),
+                F.when(nearer, off).otherwise(a["off"]).alias("off"), (a["n"] * 2 + F.when(short, 1).otherwise(0)).alias("n"),
+            )
+
+        start = F.struct(*(F.col(c).cast("double").alias(c) for c in ("lo", "hi", "size", "off")), F.lit(1).alias("n"))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, halve)
+        old, state = state, written(state.join(kms, ["key", "side"], "left").select("key", "side", "goal", walked.alias("w")).select("key", "side", "goal", "w.lo", "w.hi", "w.size", "w.off"), "bisect")
         discard(old)
     return state.select("key", "side", "size")
 
