@@ -41,7 +41,7 @@ def builds(placed: DataFrame, shapes: DataFrame, net: Network):
     def measure(sizes: DataFrame) -> DataFrame:
         tried = written(at(sizes), "tried")
         made, _ = P.routes(candidates(tried), shapes, net)
-        km = P.sums(P.steps(written(made, "routes"), net)).select(F.col("key").alias("try"), (F.col("length_m") / 1000).alias("km"))
+        km = P.sums(P.steps(written(made, "routes"), net), with_points=False).select(F.col("key").alias("try"), (F.col("length_m") / 1000).alias("km"))
         return tried.join(km, "try").select("key", "side", F.col("size_m").alias("size"), "km")
 
     def score(sizes: DataFrame) -> DataFrame:

@@ -108,25 +108,30 @@ def steps_over(found: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFram
     """The steps of routes (key, seq) over nodes (id, lat, lon) and roads (a, b, length, ...), one for each pair of nodes."""
     rows = found.select("key", F.posexplode("seq").alias("i", "node"))
     rows = rows.withColumn("next", F.lead("node").over(Window.partitionBy("key").orderBy("i")))
-    rows = rows.join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node")
+    return with_roads(rows.join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node"), roads)
+
+
+def with_roads(rows: DataFrame, roads: DataFrame) -> DataFrame:
+    """Vertices (key, i, node, next, lat, lon) with the road to the next; the last one has none."""
     road = roads.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")}).drop("a", "b")
     pair = rows.withColumns({"u": F.least("node", F.coalesce("next", F.lit(-1))), "v": F.greatest("node", "next")})
     return pair.join(road, ["u", "v"], "left")
 
 
-def sums(walked: DataFrame) -> DataFrame:
+def sums(walked: DataFrame, with_points: bool = True) -> DataFrame:
     """Per route: length_m, safety, retrace (share of roads walked before), points (array of i, lat, lon in order).
 
-    Steps without a road have no length; a route without any has null shares.
+    Steps without a road have no length; a route without any has null shares. Without points their number ``n`` is given,
+    so that only numbers are grouped.
     """
     again = F.row_number().over(Window.partitionBy("key", "u", "v").orderBy("i")) > 1
     length = F.coalesce("length", F.lit(0.0))
     rows = walked.withColumn("again", again & F.col("next").isNotNull())
     total = F.sum(length)
+    points = F.sort_array(F.collect_list(F.struct("i", "lat", "lon"))).alias("points") if with_points else F.count("*").alias("n")
     return rows.groupBy("key").agg(
         total.alias("length_m"), F.try_divide(F.sum(F.col("safety") * length), total).alias("safety"),
-        F.try_divide(F.sum(F.when(F.col("again"), length).otherwise(0.0)), total).alias("retrace"),
-        F.sort_array(F.collect_list(F.struct("i", "lat", "lon"))).alias("points"),
+        F.try_divide(F.sum(F.when(F.col("again"), length).otherwise(0.0)), total).alias("retrace"), points,
     )
 
 

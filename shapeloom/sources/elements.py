@@ -59,18 +59,20 @@ def roads(elements: DataFrame, box: tuple[float, float, float, float] | None = N
     way without nodes, tags or id gives nothing.
     """
     place = elements.where("type = 'node' and lat is not null and lon is not null").groupBy(F.col("id").alias("node")).agg(F.min(F.struct("lat", "lon")).alias("at"))
-    ways = open_ways(elements.where("id is not null"), box).dropDuplicates(["id"])
     safety = F.bround(road_safety(tag("highway"), _name(), tag("foot"), tag("sidewalk"), F.nullif(tag("lanes"), F.lit(""))), 3)
-    steps = ways.select(F.col("id").alias("way"), tag("highway").alias("hw"), _name().alias("name"), tag("lit").alias("lit"), safety.alias("safety"), F.posexplode("nodes").alias("pos", "node"))
+    ways = open_ways(elements.where("id is not null"), box).select(F.col("id").alias("way"), tag("highway").alias("hw"), _name().alias("name"), tag("lit").alias("lit"), safety.alias("safety"), "nodes")
+    # what the tags say is worked out before ways are grouped: once a way, and no tags are shuffled
+    steps = ways.dropDuplicates(["way"]).select("way", "hw", "name", "lit", "safety", F.posexplode("nodes").alias("pos", "node"))
     line = Window.partitionBy("way").orderBy("pos")
     hops = steps.join(place, "node").withColumns({"next": F.lead("node").over(line), "then": F.lead("at").over(line)}).where("next is not null and next <> node")
     forth = F.col("node") < F.col("next")
     ordered = hops.withColumns({
         "a": F.least("node", "next"), "b": F.greatest("node", "next"), "p": F.when(forth, F.col("at")).otherwise(F.col("then")), "q": F.when(forth, F.col("then")).otherwise(F.col("at")),
     })
-    measured = ordered.withColumn("length", distance("p.lat", "p.lon", "q.lat", "q.lon")).where("length > 0").withColumn("cost", edge_cost(F.col("length"), F.col("safety")))
-    kept = F.struct("length", "cost", "safety", "name", "hw", "lit", "way")
-    return measured.groupBy("a", "b").agg(F.min_by(kept, F.struct("cost", "way", "pos")).alias("road")).select("a", "b", "road.*")
+    measured = ordered.withColumn("length", distance("p.lat", "p.lon", "q.lat", "q.lon")).withColumn("cost", edge_cost(F.col("length"), F.col("safety")))
+    best = measured.groupBy("a", "b").agg(F.min(F.struct("cost", "way", "pos", "length", "safety", "name", "hw", "lit")).alias("road"))
+    # all roads of a pair have one length; asked here, it is worked out once
+    return best.select("a", "b", "road.*").where("length > 0").select("a", "b", "length", "cost", "safety", "name", "hw", "lit", "way")
 
 
 def _selected() -> Column:

@@ -80,3 +80,23 @@ def test_halvings_are_measured_together(spark):
 def test_a_band_of_cells_is_worked_out_once():
     """Nine cells with the number of columns of each were too much code to be compiled."""
     assert str(network.cells_around(F.col("lat"), F.col("lon"), 100.0)).lower().count("asin") <= 2
+
+
+def test_roads_are_measured_once_and_tags_read_once_a_way(spark):
+    """One pass through Python; what is grouped by way are values, not tags."""
+    from shapeloom.plans import element_queries as E
+    from shapeloom.sources import elements
+
+    plan = elements.roads(E.map_elements(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    assert sum("ArrowEvalPython" in line for line in lines) == 1
+    assert not any("first(tags" in line for line in lines)
+
+
+def test_sums_without_points_group_numbers_only(spark):
+    rows = [("r", 0, 1, 2, 1.0, 2.0, 1, 2, 10.0, 0.5), ("r", 1, 2, 1, 1.0, 2.0, 1, 2, 10.0, 0.5), ("r", 2, 1, None, 1.0, 2.0, -1, 1, None, None)]
+    walked = spark.createDataFrame(rows, "key string, i int, node long, next long, lat double, lon double, u long, v long, length double, safety double")
+    whole, slim = planner.sums(walked).first(), planner.sums(walked, with_points=False)
+    got = slim.first()
+    assert (got.length_m, got.safety, got.retrace, got.n) == (whole.length_m, whole.safety, whole.retrace, len(whole.points)) == (20.0, 0.5, 0.5, 3)
+    assert "collect_list" not in slim._jdf.queryExecution().executedPlan().toString()
