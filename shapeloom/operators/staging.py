@@ -45,3 +45,12 @@ def discard(table: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
         table.written_to = None
+
+
+#: Rows of numbers that one task takes.
+ROWS = 1_000_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks to which so many rows are dealt: as many as a shuffle has, and more where a task would take over ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))

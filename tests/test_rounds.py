@@ -100,3 +100,15 @@ def test_sums_without_points_group_numbers_only(spark):
     got = slim.first()
     assert (got.length_m, got.safety, got.retrace, got.n) == (whole.length_m, whole.safety, whole.retrace, len(whole.points)) == (20.0, 0.5, 0.5, 3)
     assert "collect_list" not in slim._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_rows_go_to_more_tasks(spark, monkeypatch):
+    from shapeloom.operators import staging
+    from shapeloom.plans import catalog
+
+    monkeypatch.setattr(staging, "ROWS", 500)
+    found = catalog.queries()["a7_dead_end_visits"](spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert staging.tasks_for(spark, rows) == -(-rows // 500) > 4
+    assert found.rdd.getNumPartitions() == -(-rows // 500)
+    assert sum(r.visits for r in found.collect()) <= rows
