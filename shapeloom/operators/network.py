@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.geo import RADIUS, haversine
-from shapeloom.operators.components import connected_components
+from shapeloom.operators.components import components_of_ranges
 from shapeloom.operators.staging import discard, written
 from shapeloom.plans.fixtures import GREEN, SAFETY
 
@@ -35,14 +34,19 @@ def base_safety(hw: Column) -> Column:
 
 
 def road_safety(hw: Column, name: Column, foot: Column, sidewalk: Column, lanes: Column) -> Column:
-    """Safety of a road, 0.02 to 1, unrounded. Every rule clamps before the next one adds."""
-    s = base_safety(hw)
-    hint = F.coalesce(name, F.lit("")).rlike("|".join(GREENWAY_HINTS))
-    s = F.when(hint, F.greatest(s, F.lit(0.95))).otherwise(s)
-    s = F.when(foot.isin("designated", "yes"), F.least(F.lit(1.0), s + 0.05)).otherwise(s)
-    s = F.when(sidewalk.isin("both", "left", "right", "yes"), F.least(F.lit(1.0), s + 0.08)).otherwise(s)
-    s = F.when(sidewalk == "no", F.greatest(F.lit(0.05), s - 0.12)).otherwise(s)
-    s = F.when(F.coalesce(parse_lanes(lanes), F.lit(0)) >= 4, F.greatest(F.lit(0.05), s - 0.10)).otherwise(s)
+    """Safety of a road, 0.02 to 1, unrounded. Every rule clamps before the next one adds.
+
+    A rule that does not hold adds 0 and clamps to 0 or 1, which leaves every safety as it is. So each rule names the one
+    before it once; named in both branches of a condition, the first would be worked out 32 times a row.
+    """
+    holds = lambda rule, yes, no: F.when(rule, yes).otherwise(no)
+    plus = lambda s, rule, more: F.least(F.lit(1.0), s + holds(rule, more, 0.0))
+    less = lambda s, rule, less: F.greatest(holds(rule, 0.05, 0.0), s - holds(rule, less, 0.0))
+    s = F.greatest(base_safety(hw), holds(F.coalesce(name, F.lit("")).rlike("|".join(GREENWAY_HINTS)), 0.95, 0.0))
+    s = plus(s, foot.isin("designated", "yes"), 0.05)
+    s = plus(s, sidewalk.isin("both", "left", "right", "yes"), 0.08)
+    s = less(s, sidewalk == "no", 0.12)
+    s = less(s, F.coalesce(parse_lanes(lanes), F.lit(0)) >= 4, 0.10)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.02), s))
 
 
@@ -69,15 +73,19 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected part. A node that only loops is left out."""
-    return connected_components(edges, "a", "b")
+    return components_of_ranges(edges, "a", "b")
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    """Edges of the component with the most nodes; of equal ones that with the smallest node."""
+def largest_component_nodes(edges: DataFrame) -> DataFrame:
+    """(id): the nodes of the component with the most nodes; of equal ones that with the smallest node."""
     label = components(edges)
     best = label.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    kept = label.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a"))
-    return edges.join(kept.hint("merge"), "a", "left_semi")
+    return label.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("id"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """Edges of the component with the most nodes; of equal ones that with the smallest node."""
+    return edges.join(largest_component_nodes(edges).select(F.col("id").alias("a")).hint("merge"), "a", "left_semi")
 
 
 def _columns(cy: Column, metres: float) -> Column:
@@ -118,6 +126,19 @@ def cells_around(lat: Column, lon: Column, metres: float) -> Column:
     return F.array_distinct(F.flatten(cells))
 
 
+def cells_beside(cell: Column, metres: float) -> Column:
+    """An array of (cy, cx): all cells that hold points at most so many metres from any point of a cell, its own included.
+
+    It holds cells_around() of every point of the cell, and lets a few cells tell which of many rows can matter.
+    """
+    cy, cx = cell["cy"], cell["cx"]
+    bands = F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda dy: F.struct((cy + dy).alias("cy"), _columns(cy + dy, metres).alias("n"), _columns(cy, metres).alias("own")))
+    edge = lambda band, x, slack, dx: F.floor(x * band["n"] / band["own"] + slack) + dx
+    columns = lambda band: F.sequence(edge(band, cx, -SLACK, -1), edge(band, cx + 1, SLACK, 1))
+    cells = F.transform(bands, lambda band: F.transform(columns(band), lambda x: F.struct(band["cy"].alias("cy"), F.pmod(x, band["n"]).alias("cx"))))
+    return F.array_distinct(F.flatten(cells))
+
+
 def within(left: DataFrame, right: DataFrame, metres: float, names=("lat", "lon", "rlat", "rlon"), spread: str = "left") -> DataFrame:
     """Pairs of points at most so far apart: an equi-join on grid cells, then the exact distance ``d``.
 
@@ -153,7 +174,7 @@ def _with_nearest(points: DataFrame, around: DataFrame, metres: float) -> DataFr
     return met.withColumn("m", least).drop("cell", "ns").withColumn("m", F.when(F.col("m.d") <= metres, F.col("m")))
 
 
-def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float, waiting: Callable[[float], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float, few_cells: bool = False) -> tuple[DataFrame, DataFrame]:
     """``points`` (lat, lon and any others) with node and d of the nearest node within ``reach``, and a scratch table.
 
     For many points over few nodes: nodes are dealt to the cells around them and wait there as one array a cell, so
@@ -163,15 +184,16 @@ def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: fl
     without a node in reach or without coordinates are left out; repeated points all stay. The scratch table can be
     discarded once the result is written.
 
-    waiting: gives by_cell() of the nodes where it is kept for many calls. Then only arrays of cells with points are read on.
+    few_cells: the points lie in few of the cells that hold nodes. Then only nodes in cells beside these are dealt out.
     """
-    places = one_of_each_place(nodes)
 
     def look(asked: DataFrame, metres: float) -> DataFrame:
-        if waiting is None:
-            return _with_nearest(asked, by_cell(places, metres), metres)
-        cells = asked.select(own_cell(F.col("lat"), F.col("lon"), metres).alias("cell")).distinct()
-        return _with_nearest(asked, waiting(metres).join(cells, "cell", "left_semi"), metres)
+        near = nodes
+        if few_cells:
+            own = own_cell(F.col("lat"), F.col("lon"), metres).alias("cell")
+            beside = asked.select(own).distinct().select(F.explode(cells_beside(F.col("cell"), metres)).alias("cell")).distinct()
+            near = nodes.select("*", own).join(beside, "cell", "left_semi").drop("cell")
+        return _with_nearest(asked, by_cell(one_of_each_place(near), metres), metres)
 
     near = written(look(points, first), "snapped")
     rest = look(near.where("m is null").drop("m"), reach)

@@ -16,14 +16,15 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.geo import RADIUS, haversine
-from shapeloom.operators.network import by_cell, cells_around, one_of_each_place, own_cell
+from shapeloom.operators.network import cells_around, cells_beside, own_cell
 from shapeloom.operators.staging import discard, written
 
 #: Metres of a map cell's side, roads around a cell that one task takes at most, and pairs of one task.
@@ -33,36 +34,42 @@ PER_CELL, PARTS = 50_000, 16
 #: Share by which a straight distance is taken shorter, against rounding.
 _LESS = 1 - 1e-9
 _FOUND = "a long, b long, cost double, metres double, path array<long>, settled long"
+_ROAD = ("a", "b", "length", "cost", "alat", "alon", "blat", "blon")
 _LABEL = "pair long, node long, cell int, cost double, metres double, prev long, carried boolean, settled long, waits boolean"
 
 
 @dataclass
 class Network:
-    """Nodes (id, lat, lon), roads (a, b, length, cost, both ends' places and the map cells around them), roads a map cell,
-    and cells of the network.
+    """Nodes (id, lat, lon), roads (a, b, length, cost, both ends' places and map cells), and roads with all their columns.
 
-    discard() deletes these tables.
+    The cells of the whole network are written where a pair first needs them. discard() deletes these tables.
     """
 
     nodes: DataFrame
     roads: DataFrame
-    around: DataFrame
-    arcs: DataFrame
-    places: DataFrame
     attributes: DataFrame
     side: float
-    arrays: dict[float, DataFrame] = field(default_factory=dict)
-
-    def waiting(self, metres: float) -> DataFrame:
-        """(cell, ns): the nodes as points of a cell find them within so many metres; written where first asked for."""
-        if metres not in self.arrays:
-            self.arrays[metres] = written(by_cell(one_of_each_place(self.nodes), metres), "waiting")
-        return self.arrays[metres]
+    per_cell: int
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """(node, cell, lat, lon): cells of about so many roads, of nodes that are near each other."""
+        count = max(1, -(-2 * self.roads.count() // self.per_cell))
+        dealt = self.nodes.withColumn("z", _interleaved(F.col("lat"), F.col("lon"))).repartitionByRange(count, "z", "id")
+        return written(dealt.select(F.col("id").alias("node"), F.spark_partition_id().alias("cell"), "lat", "lon"), "places")
+
+    @cached_property
+    def arcs(self) -> DataFrame:
+        """Roads both ways (u, v, cost, length) with the cell of u, and the cell and place of v."""
+        both = self.roads.select(F.col("a").alias("u"), F.col("b").alias("v"), "cost", "length").unionAll(self.roads.select("b", "a", "cost", "length"))
+        here = self.places.select(F.col("node").alias("u"), "cell")
+        there = self.places.select(F.col("node").alias("v"), F.col("cell").alias("vcell"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
+        return written(both.join(here, "u").join(there, "v").select("cell", "u", "v", "vcell", "vlat", "vlon", "cost", "length"), "arcs")
 
     def discard(self) -> None:
-        for table in (self.nodes, self.roads, self.around, self.arcs, self.places, self.attributes, *self.arrays.values()):
+        made = [self.__dict__[name] for name in ("places", "arcs") if name in self.__dict__]
+        for table in (self.nodes, self.roads, self.attributes, *made):
             discard(table)
-        self.arrays.clear()
 
 
 def _interleaved(lat: Column, lon: Column, bits: int = 20) -> Column:
@@ -80,22 +87,17 @@ def prepare(nodes: DataFrame, roads: DataFrame, side: float = SIDE, per_cell: in
 
     nodes: (id, lat, lon), rows without an id or a place are left out. roads: (a, b, length, cost) with any further
     columns; a road without length or cost, with a cost below the straight distance of its ends, or to a node that is not
-    there, is left out, and so are loops. Of parallel roads the cheapest is walked.
+    there, is left out, and so are loops. Of parallel roads the cheapest is walked. Roads that written() returned are
+    not written again; they go with the network.
     """
     nodes = written(nodes.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("id is not null and lat is not null and lon is not null").dropDuplicates(["id"]), "nodes")
-    attributes = written(roads, "attributes")
+    attributes = roads if getattr(roads, "written_to", None) else written(roads, "attributes")
     end = lambda x: nodes.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon"))
-    placed = roads.select(*(F.col(c).cast("long").alias(c) for c in "ab"), *(F.col(c).cast("double").alias(c) for c in ("length", "cost"))).where("a <> b").join(end("a"), "a").join(end("b"), "b")
+    placed = attributes.select(*(F.col(c).cast("long").alias(c) for c in "ab"), *(F.col(c).cast("double").alias(c) for c in ("length", "cost"))).where("a <> b").join(end("a"), "a").join(end("b"), "b")
     usable = (F.col("length") > 0) & (F.col("cost") >= haversine("alat", "alon", "blat", "blon") * _LESS)
-    placed = written(placed.where(usable).select("a", "b", "length", "cost", "alat", "alon", "blat", "blon", _around(side).alias("cells")), "roads")
-    around = written(placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")), "around")
-    count = max(1, -(-2 * placed.count() // per_cell))
-    dealt = nodes.withColumn("z", _interleaved(F.col("lat"), F.col("lon"))).repartitionByRange(count, "z", "id")
-    places = written(dealt.select(F.col("id").alias("node"), F.spark_partition_id().alias("cell"), "lat", "lon"), "places")
-    both = placed.select(F.col("a").alias("u"), F.col("b").alias("v"), "cost", "length").unionAll(placed.select("b", "a", "cost", "length"))
-    here, there = places.select(F.col("node").alias("u"), "cell"), places.select(F.col("node").alias("v"), F.col("cell").alias("vcell"), F.col("lat").alias("vlat"), F.col("lon").alias("vlon"))
-    arcs = written(both.join(here, "u").join(there, "v").select("cell", "u", "v", "vcell", "vlat", "vlon", "cost", "length"), "arcs")
-    return Network(nodes, placed, around, arcs, places, attributes, side)
+    cells = (own_cell(F.col(f"{x}lat"), F.col(f"{x}lon"), side).alias(f"{x}cell") for x in "ab")
+    placed = written(placed.where(usable).select(*_ROAD, *cells), "roads")
+    return Network(nodes, placed, attributes, side, per_cell)
 
 
 def _around(side: float) -> Column:
@@ -172,16 +174,19 @@ def _near(side: float, directed: bool):
     return run
 
 
-def _within_cells(pairs: DataFrame, net: Network, directed: bool, most: int) -> DataFrame:
+def _within_cells(pairs: DataFrame, net: Network, directed: bool, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Paths of near pairs, and the tables to discard once they are written."""
     own = own_cell(F.col("alat"), F.col("alon"), net.side)
     fits = pairs.where(F.col("straight") <= net.side).select("a", "b", "straight", own.alias("cell"))
-    busy = fits.groupBy("cell").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).join(net.around.where(F.col("n") <= most), "cell").select("cell", "parts")
-    # a table of its own, so that its size is known: only roads of these cells go on
-    busy = written(busy, "busy")
-    fits = fits.join(busy, "cell").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
-    roads = net.roads.withColumn("cell", F.explode("cells")).join(busy, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    roads = roads.select("cell", "part", "a", "b", "length", "cost", "alat", "alon", "blat", "blon")
-    return fits.groupBy("cell", "part").cogroup(roads.groupBy("cell", "part")).applyInPandas(_near(net.side, directed), _FOUND)
+    # a table of its own, so that its size is known: only roads beside these cells go on, and are dealt to the cells around them
+    busy = written(fits.groupBy("cell").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "busy")
+    beside = busy.select(F.explode(cells_beside(F.col("cell"), net.side)).alias("own")).distinct()
+    met = net.roads.withColumn("own", F.explode(F.array_distinct(F.array("acell", "bcell")))).join(beside, "own", "left_semi").select(*_ROAD).distinct()
+    roads = written(met.withColumn("cell", F.explode(_around(net.side))).join(busy, "cell").select("cell", "parts", *_ROAD), "around")
+    taken = roads.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("cell")
+    fits = fits.join(busy, "cell").join(taken, "cell", "left_semi").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
+    dealt = roads.join(taken, "cell", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", *_ROAD)
+    return fits.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(_near(net.side, directed), _FOUND), [busy, roads]
 
 
 def _relax(directed: bool):
@@ -343,8 +348,10 @@ def route_legs(pairs: DataFrame, net: Network, directed: bool = True, with_paths
     end = lambda x: net.nodes.select(F.col("id").alias(x), F.col("lat").alias(f"{x}lat"), F.col("lon").alias(f"{x}lon"))
     asked = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct().join(end("a"), "a").join(end("b"), "b")
     asked = written(asked.withColumn("straight", haversine("alat", "alon", "blat", "blon")), "pairs")
-    near = _within_cells(asked, net, directed, most_roads)
+    near, scratch = _within_cells(asked, net, directed, most_roads)
     near = written(near if with_paths else near.withColumn("path", F.lit(None).cast("array<long>")), "near")
+    for table in scratch:
+        discard(table)
     far = written(asked.join(near, ["a", "b"], "left_anti"), "far")
     discard(asked)
     rest = None if far.isEmpty() else _whole(far, net, directed, with_paths)

@@ -58,7 +58,7 @@ def snap(points: DataFrame, net: Network) -> DataFrame:
     or a single one above 416 m.
     """
     points = written(points.select("key", "i", "j", "lat", "lon"), "points")
-    near, scratch = nearest_of_many(points, net.nodes, MAX_SNAP, FIRST_LOOK, net.waiting)
+    near, scratch = nearest_of_many(points, net.nodes, MAX_SNAP, FIRST_LOOK, few_cells=True)
     total = points.groupBy("key").agg(F.count("*").alias("total"))
     seen = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "j", "node"))).alias("xs"), F.avg("d").alias("snap_mean"), F.count("*").alias("n"))
     stops = F.transform(F.filter("xs", lambda x, k: (k == 0) | (F.get("xs", k - 1)["node"] != x["node"])), lambda x: x["node"])

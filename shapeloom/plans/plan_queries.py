@@ -47,13 +47,16 @@ def shapes(spark):
 
 def network(spark, d):
     """The largest connected part of the network, with one road for each pair of nodes, the cheapest."""
-    rows = edges(spark, d).where("length > 0 and a <> b").where(~F.col("hw").isin(*N.EXCLUDED))
+    rows = edges(spark, d).where("a <> b").where(~F.col("hw").isin(*N.EXCLUDED))
     pair = rows.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")})
     kept = F.struct("length", "cost", "safety", "hw", "name")
-    roads = pair.groupBy("u", "v").agg(F.min_by(kept, F.struct("cost", "a")).alias("r")).select(F.col("u").alias("a"), F.col("v").alias("b"), "r.*")
-    roads = written(N.largest_component(written(roads, "roads")), "part")
-    ends = roads.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return paths.prepare(view(spark, d, "nodes").select("id", "lat", "lon").join(ends, "id", "left_semi"), roads)
+    # roads without length don't count; as a filter, this would measure every road twice
+    best = F.min_by(kept, F.when(F.col("length") > 0, F.struct("cost", "a"))).alias("r")
+    roads = pair.groupBy("u", "v").agg(best).where("r is not null").select(F.col("u").alias("a"), F.col("v").alias("b"), "r.*")
+    roads = written(roads, "roads")
+    # roads of other parts lead to nodes that are not there
+    part = N.largest_component_nodes(roads).hint("merge")
+    return paths.prepare(view(spark, d, "nodes").select("id", "lat", "lon").join(part, "id", "left_semi"), roads)
 
 
 def jobs(spark, d):
