@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -174,7 +175,7 @@ def _with_nearest(points: DataFrame, around: DataFrame, metres: float) -> DataFr
     return met.withColumn("m", least).drop("cell", "ns").withColumn("m", F.when(F.col("m.d") <= metres, F.col("m")))
 
 
-def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float, few_cells: bool = False) -> tuple[DataFrame, DataFrame]:
+def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: float, few_cells: bool = False, waiting: Callable[[float], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``points`` (lat, lon and any others) with node and d of the nearest node within ``reach``, and a scratch table.
 
     For many points over few nodes: nodes are dealt to the cells around them and wait there as one array a cell, so
@@ -185,12 +186,14 @@ def nearest_of_many(points: DataFrame, nodes: DataFrame, reach: float, first: fl
     discarded once the result is written.
 
     few_cells: the points lie in few of the cells that hold nodes. Then only nodes in cells beside these are dealt out.
+    waiting: gives by_cell() of the nodes where it is kept for many calls. Then only arrays of cells with points are read on.
     """
 
     def look(asked: DataFrame, metres: float) -> DataFrame:
-        near = nodes
+        near, own = nodes, own_cell(F.col("lat"), F.col("lon"), metres).alias("cell")
+        if waiting:
+            return _with_nearest(asked, waiting(metres).join(asked.select(own).distinct(), "cell", "left_semi"), metres)
         if few_cells:
-            own = own_cell(F.col("lat"), F.col("lon"), metres).alias("cell")
             beside = asked.select(own).distinct().select(F.explode(cells_beside(F.col("cell"), metres)).alias("cell")).distinct()
             near = nodes.select("*", own).join(beside, "cell", "left_semi").drop("cell")
         return _with_nearest(asked, by_cell(one_of_each_place(near), metres), metres)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import pandas as pd
@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.geo import RADIUS, haversine
-from shapeloom.operators.network import cells_around, cells_beside, own_cell
+from shapeloom.operators.network import by_cell, cells_around, cells_beside, one_of_each_place, own_cell
 from shapeloom.operators.staging import discard, written
 
 #: Metres of a map cell's side, roads around a cell that one task takes at most, and pairs of one task.
 SIDE, MOST_ROADS, PAIRS = 2_000.0, 200_000, 2_000
+#: A table is dealt out whole where a round asks for one in so many of its rows; it changes the time alone.
+MANY = 10
 #: Roads of a cell of the whole network, and parts into which a cell's pairs fall.
 PER_CELL, PARTS = 50_000, 16
 #: Share by which a straight distance is taken shorter, against rounding.
@@ -50,6 +52,18 @@ class Network:
     attributes: DataFrame
     side: float
     per_cell: int
+    arrays: dict[float, DataFrame] = field(default_factory=dict)
+
+    def waiting(self, metres: float) -> DataFrame:
+        """(cell, ns): the nodes as points of a cell find them within so many metres; written where first asked for."""
+        if metres not in self.arrays:
+            self.arrays[metres] = written(by_cell(one_of_each_place(self.nodes), metres), "waiting")
+        return self.arrays[metres]
+
+    @cached_property
+    def dealt(self) -> DataFrame:
+        """Roads with each map cell around them, for rounds of many pairs."""
+        return written(self.roads.select(F.explode(_around(self.side)).alias("cell"), *_ROAD), "dealt")
 
     @cached_property
     def places(self) -> DataFrame:
@@ -67,9 +81,15 @@ class Network:
         return written(both.join(here, "u").join(there, "v").select("cell", "u", "v", "vcell", "vlat", "vlon", "cost", "length"), "arcs")
 
     def discard(self) -> None:
-        made = [self.__dict__[name] for name in ("places", "arcs") if name in self.__dict__]
-        for table in (self.nodes, self.roads, self.attributes, *made):
+        made = [self.__dict__.pop(name) for name in ("dealt", "places", "arcs") if name in self.__dict__]
+        for table in (self.nodes, self.roads, self.attributes, *made, *self.arrays.values()):
             discard(table)
+        self.arrays.clear()
+
+
+def many(asked: DataFrame, table: DataFrame) -> bool:
+    """Whether so much is asked that the whole table may be dealt to cells, once for all rounds."""
+    return asked.count() * MANY >= table.count()
 
 
 def _interleaved(lat: Column, lon: Column, bits: int = 20) -> Column:
@@ -180,9 +200,13 @@ def _within_cells(pairs: DataFrame, net: Network, directed: bool, most: int) ->
     fits = pairs.where(F.col("straight") <= net.side).select("a", "b", "straight", own.alias("cell"))
     # a table of its own, so that its size is known: only roads beside these cells go on, and are dealt to the cells around them
     busy = written(fits.groupBy("cell").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "busy")
-    beside = busy.select(F.explode(cells_beside(F.col("cell"), net.side)).alias("own")).distinct()
-    met = net.roads.withColumn("own", F.explode(F.array_distinct(F.array("acell", "bcell")))).join(beside, "own", "left_semi").select(*_ROAD).distinct()
-    roads = written(met.withColumn("cell", F.explode(_around(net.side))).join(busy, "cell").select("cell", "parts", *_ROAD), "around")
+    if "dealt" in net.__dict__ or many(pairs, net.roads):
+        met = net.dealt
+    else:
+        beside = busy.select(F.explode(cells_beside(F.col("cell"), net.side)).alias("own")).distinct()
+        met = net.roads.withColumn("own", F.explode(F.array_distinct(F.array("acell", "bcell")))).join(beside, "own", "left_semi").select(*_ROAD).distinct()
+        met = met.withColumn("cell", F.explode(_around(net.side)))
+    roads = written(met.join(busy, "cell").select("cell", "parts", *_ROAD), "around")
     taken = roads.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("cell")
     fits = fits.join(busy, "cell").join(taken, "cell", "left_semi").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
     dealt = roads.join(taken, "cell", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", *_ROAD)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shapeloom.functions.geo import enu_inverse, haversine
 from shapeloom.operators import folds, outline
 from shapeloom.operators.network import nearest, nearest_of_many, within
-from shapeloom.operators.paths import Network, route_legs
+from shapeloom.operators.paths import Network, many, route_legs
 from shapeloom.operators.staging import discard, written
 
 # Farthest mean and single distance of control points from the network; metres of a leg that count as a
@@ -58,7 +58,7 @@ def snap(points: DataFrame, net: Network) -> DataFrame:
     or a single one above 416 m.
     """
     points = written(points.select("key", "i", "j", "lat", "lon"), "points")
-    near, scratch = nearest_of_many(points, net.nodes, MAX_SNAP, FIRST_LOOK, few_cells=True)
+    near, scratch = nearest_of_many(points, net.nodes, MAX_SNAP, FIRST_LOOK, few_cells=True, waiting=net.waiting if net.arrays or many(points, net.nodes) else None)
     total = points.groupBy("key").agg(F.count("*").alias("total"))
     seen = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "j", "node"))).alias("xs"), F.avg("d").alias("snap_mean"), F.count("*").alias("n"))
     stops = F.transform(F.filter("xs", lambda x, k: (k == 0) | (F.get("xs", k - 1)["node"] != x["node"])), lambda x: x["node"])
