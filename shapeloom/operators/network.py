@@ -168,10 +168,13 @@ def by_cell(places: DataFrame, metres: float) -> DataFrame:
 
 
 def _with_nearest(points: DataFrame, around: DataFrame, metres: float) -> DataFrame:
-    """``points`` with ``m``, the nearest node (d, node) at most so many metres away; null without one. around: by_cell()."""
+    """``points`` with ``m``, the nearest node (d, node) at most so many metres away; null without one. around: by_cell().
+
+    Arrays are far larger than the rows that they are made of, by which Spark would judge them: never broadcast them.
+    """
     far = lambda n: haversine(F.col("lat"), F.col("lon"), n["lat"], n["lon"])
     least = F.array_min(F.transform("ns", lambda n: F.struct(far(n).alias("d"), n["id"].alias("node"))))
-    met = points.withColumn("cell", own_cell(F.col("lat"), F.col("lon"), metres)).join(around, "cell", "left")
+    met = points.withColumn("cell", own_cell(F.col("lat"), F.col("lon"), metres)).join(around.hint("merge"), "cell", "left")
     return met.withColumn("m", least).drop("cell", "ns").withColumn("m", F.when(F.col("m.d") <= metres, F.col("m")))
 
 

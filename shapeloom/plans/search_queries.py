@@ -45,7 +45,7 @@ def k6_j3_placement_grid(spark, d):
     shapes = vertices(view(spark, d, "embeddings"))
 
     def scored(candidates):
-        at = shapes.join(candidates, "vec_id")
+        at = shapes.hint("merge").join(candidates, "vec_id")
         pts = at.select("vec_id", "ci", "cj", "size", (24.1 + F.col("ci") * 0.0005 + F.col("y") * F.col("size") / N.METRES).alias("lat"), (120.61 + F.col("cj") * 0.003 + F.col("x") * F.col("size") / N.METRES).alias("lon"))
         near, _ = N.nearest_of_many(pts, nodes, 260.0, 65.0)
         q = near.groupBy("vec_id", "ci", "cj", "size").agg(F.count_distinct("node").alias("n"), F.avg("d").alias("err"))

@@ -27,6 +27,15 @@ def test_placements_meet_places_not_pairs(spark, monkeypatch):
     assert catalog.queries()["k6_j3_placement_grid"](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_arrays_of_nodes_are_never_broadcast(spark):
+    """However small the nodes are, nine arrays of each would go through the driver."""
+    points = spark.createDataFrame([(k, 24.0, 120.0) for k in range(3)], "ord long, lat double, lon double")
+    nodes = spark.range(50).selectExpr("id", "24 + id * 1e-5d as lat", "120d as lon")
+    met = network._with_nearest(points, network.by_cell(nodes, 65.0), 65.0)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert [(r.ord, r.m.node) for r in met.collect()] == [(k, 0) for k in range(3)]
+
+
 def test_errors_of_many_outlines_at_once():
     """Outlines of one to seven points, without a length too: as one after another, in steps of a few rows."""
     rng = np.random.default_rng(3)
