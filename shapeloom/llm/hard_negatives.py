@@ -6,8 +6,8 @@ vectors' remaining norms, plus a slack for rounding. Pairs whose bounds cannot m
 survivors are verified by products of whole numbers, so the rotation never changes a result.
 
 Spark deals out the work as a grid: anchors and rows are packed into blocks, and each block of anchors meets each block
-of rows once, in a cell of the grid. First come the positives, then the negatives whose scores lie in the band that a
-positive sets; each meeting gives its best few for each anchor, and a window merges them.
+of rows once. First come the positives, then the negatives whose scores lie in the band that a positive sets; each task
+gives its best few for each anchor, and a window merges them.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from shapeloom.llm.vectors import integer_vectors, longest, matrix
 
 #: Anchors and rows of a block, and rows of it that are compared at once.
 ANCHORS, ROWS, AT_ONCE = 2048, 16_384, 1024
+#: Bytes of anchors, and places for their best, that a task holds.
+HELD, PLACES = 1 << 26, 1 << 20
 #: Relative slack for the rounding of a partial product; bounds are compared as doubles.
 SLACK = 1e-9
 #: Below this share of pairs left, pairs are followed one by one.
@@ -79,23 +81,25 @@ def _blocks(vectors: DataFrame, size: int, width: int) -> DataFrame:
     return dealt.mapInArrow(pack, BLOCK)
 
 
-def _grid(anchors: DataFrame, rows: DataFrame, condition: Column | None) -> DataFrame:
-    """Each block of anchors beside each block of rows, once, in the cell of a grid of both."""
-    across, down = anchors.count(), min(rows.count(), 4 * shuffle_partitions(rows.sparkSession))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(max(n, 1))).cast("int")
-    left = anchors.select(*(F.col(c).alias(f"a_{c}") for c in anchors.columns), own(across).alias("x"), each(down).alias("y"))
-    right = rows.select(*(F.col(c).alias(f"r_{c}") for c in rows.columns), each(across).alias("x"), own(down).alias("y"))
-    met = left.join(right, ["x", "y"]).drop("x", "y")
-    return met if condition is None else met.where(condition)
+def _grid(anchors: DataFrame, rows: DataFrame, width: int, condition: Column | None) -> DataFrame:
+    """Each block of anchors beside each block of rows, once.
+
+    A task holds some of the anchors' blocks, of about HELD bytes at most, and reads rows one block after another. Blocks
+    stay single: copies of them, one for each meeting, would go to the driver in a broadcast, or fill the disk.
+    """
+    across, tasks = max(1, anchors.count()), -(-shuffle_partitions(rows.sparkSession) // max(1, rows.count()))
+    parts = min(across, max(tasks, -(-across * ANCHORS * (4 * width + 16) // HELD)))
+    left = rows.select(*(F.col(c).alias(f"r_{c}") for c in rows.columns))
+    right = anchors.select(*(F.col(c).alias(f"a_{c}") for c in anchors.columns)).repartition(parts).hint("shuffle_replicate_nl")
+    return left.crossJoin(right) if condition is None else left.join(right, condition)
 
 
 class _Side:
     """One side of a meeting, unpacked: ids, labels, whole numbers, and these rotated."""
 
     def __init__(self, row: dict, prefix: str, width: int, axes: np.ndarray):
-        self.ids, self.labels = (np.frombuffer(row[prefix + c], np.int64) for c in ("ids", "marks"))
-        self.ints = np.frombuffer(row[prefix + "ints"], np.int32).reshape(len(self.ids), width)
+        self.ids, self.labels = (np.frombuffer(row[prefix + c].as_buffer(), np.int64) for c in ("ids", "marks"))
+        self.ints = np.frombuffer(row[prefix + "ints"].as_buffer(), np.int32).reshape(len(self.ids), width)
         self.turned = self.ints.astype(np.float64) @ axes
         squares = np.cumsum(self.turned[:, ::-1] ** 2, axis=1)[:, ::-1]
         #: the norm of the components from each place on
@@ -134,10 +138,10 @@ def _survivors(a: _Side, r: _Side, i: np.ndarray, j: np.ndarray, keep: Callable)
 
 
 class _Best:
-    """The best ``most`` of each key so far: higher scores first, ties by smaller id."""
+    """The best ``most`` of each key so far, a row's place: higher scores first, ties by smaller id."""
 
-    def __init__(self, keys: int, most: int):
-        self.most, self.last = most, np.full(keys, _NONE)
+    def __init__(self, rows: int, places: int, most: int):
+        self.places, self.most, self.last = places, most, np.full(rows * places, _NONE)
         self.key, self.other, self.score = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, key: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
@@ -157,13 +161,26 @@ def _hits(block: int, best: _Best, places: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["block", "row", "place", "other", "score"])
 
 
-def _meetings(grid: DataFrame, meet: Callable) -> DataFrame:
+def _meetings(grid: DataFrame, width: int, axes: np.ndarray, begin: Callable, meet: Callable) -> DataFrame:
+    """The best of all anchors: begin(row) makes what a task keeps of a block of anchors, its _Best first; meet() adds to it."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, r, r_block = {}, None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                yield meet({c: row.column(c)[0].as_py() for c in row.schema.names})
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                block, own = row["a_block"].as_py(), row["r_block"].as_py()
+                if own != r_block:
+                    r, r_block = _Side(row, "r_", width, axes), own
+                a = _Side(row, "a_", width, axes)
+                if block not in kept:
+                    kept[block] = begin(a, row)
+                meet(a, r, *kept[block])
+                if sum(len(best.last) for best, *_ in kept.values()) > PLACES:
+                    yield from (_hits(i, best, best.places) for i, (best, *_) in kept.items())
+                    kept.clear()
             K.tidy()
+        yield from (_hits(i, best, best.places) for i, (best, *_) in kept.items())
 
     return grid.mapInArrow(each, HIT)
 
@@ -175,47 +192,52 @@ def _ranked(hits: DataFrame, most: int) -> DataFrame:
 
 
 def _positives(grid: DataFrame, width: int, axes: np.ndarray, most: int) -> DataFrame:
-    def meet(row: dict) -> pa.RecordBatch:
-        a, r = _Side(row, "a_", width, axes), _Side(row, "r_", width, axes)
-        best = _Best(len(a.ids), most)
+    def begin(a: _Side, row: dict) -> tuple[_Best]:
+        return (_Best(len(a.ids), 1, most),)
+
+    def meet(a: _Side, r: _Side, best: _Best) -> None:
         keep = lambda i, j, low, high: (high >= best.last[i]) & (a.ids[i] != r.ids[j])
         for label in np.intersect1d(a.labels, r.labels):
             i, others = np.flatnonzero(a.labels == label), np.flatnonzero(r.labels == label)
             for at in range(0, len(others), AT_ONCE):
                 ai, rj, score = _survivors(a, r, i, others[at : at + AT_ONCE], keep)
                 best.add(ai, r.ids[rj], score)
-        return _hits(row["a_block"], best, 1)
 
-    return _ranked(_meetings(grid, meet), most)
+    return _ranked(_meetings(grid, width, axes, begin, meet), most)
 
 
 def _negatives(grid: DataFrame, width: int, axes: np.ndarray, positives: int, most: int, band: tuple[int, int]) -> DataFrame:
     low_percent, high_percent = band
 
-    def meet(row: dict) -> pa.RecordBatch:
-        a, r = _Side(row, "a_", width, axes), _Side(row, "r_", width, axes)
+    def begin(a: _Side, row: dict) -> tuple[_Best, np.ndarray, np.ndarray]:
         # for each anchor and positive the smallest and largest whole score in its band; places without a positive are empty
         least, largest = np.full((len(a.ids), positives), 1), np.zeros((len(a.ids), positives), np.int64)
-        for p in row["a_positives"]:
+        for p in row["a_positives"].as_py():
             least[p["row"], p["rank"] - 1] = -(-low_percent * p["score"] // 100)
             largest[p["row"], p["rank"] - 1] = high_percent * p["score"] // 100
-        best = _Best(least.size, most)
+        return _Best(len(a.ids), positives, most), least, largest
+
+    def meet(a: _Side, r: _Side, best: _Best, least: np.ndarray, largest: np.ndarray) -> None:
+        full = least <= largest
+        anchors = np.flatnonzero(full.any(axis=1))
 
         def keep(i, j, low, high):
             needed = np.maximum(least, best.last.reshape(least.shape))
+            # over all pairs of blocks only the span of an anchor's bands is asked, for its few pairs each band
+            if low.ndim == 2:
+                from_, to = np.where(full, needed, np.iinfo(np.int64).max).min(axis=1), np.where(full, largest, _NONE).max(axis=1)
+                return (high >= from_[i]) & (low <= to[i]) & (a.labels[i] != r.labels[j])
             left = False
             for k in range(positives):
                 left = left | ((high >= needed[i, k]) & (low <= largest[i, k]))
             return left & (a.labels[i] != r.labels[j])
 
-        anchors = np.flatnonzero((least <= largest).any(axis=1))
         for at in range(0, len(r.ids) if len(anchors) else 0, AT_ONCE):
             ai, rj, score = _survivors(a, r, anchors, np.arange(at, min(at + AT_ONCE, len(r.ids))), keep)
             which, k = np.nonzero((score[:, None] >= least[ai]) & (score[:, None] <= largest[ai]))
             best.add(ai[which] * positives + k, r.ids[rj[which]], score[which])
-        return _hits(row["a_block"], best, positives)
 
-    return _ranked(_meetings(grid, meet), most)
+    return _ranked(_meetings(grid, width, axes, begin, meet), most)
 
 
 def mine(
@@ -240,11 +262,11 @@ def mine(
     axes = rotation(vectors, width)
     row_blocks, anchor_blocks = written(_blocks(vectors, ROWS, width), "rows"), written(_blocks(vectors.where(anchor), ANCHORS, width), "anchors")
     discard(vectors)
-    found = written(_positives(_grid(anchor_blocks, row_blocks, F.arrays_overlap("a_labels", "r_labels")), width, axes, positives), "positives")
+    found = written(_positives(_grid(anchor_blocks, row_blocks, width, F.arrays_overlap("a_labels", "r_labels")), width, axes, positives), "positives")
     by_block = found.groupBy("block").agg(F.collect_list(F.struct("row", "rank", "score")).alias("positives"))
-    hits = _negatives(_grid(anchor_blocks.join(by_block, "block"), row_blocks, None), width, axes, positives, negatives, band)
+    hits = _negatives(_grid(anchor_blocks.join(by_block.hint("merge"), "block"), row_blocks, width, None), width, axes, positives, negatives, band)
     named = anchor_blocks.select("block", "ids").mapInArrow(_anchor_ids, "block long, row int, anchor_id long")
-    pairs = found.join(named, ["block", "row"]).select("block", "row", (F.col("rank") - 1).alias("place"), "anchor_id", F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
+    pairs = found.join(named.hint("merge"), ["block", "row"]).select("block", "row", (F.col("rank") - 1).alias("place"), "anchor_id", F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
     best = hits.select("block", "row", "place", "rank", F.col("other").alias("negative_id"), F.col("score").alias("negative_score"))
     return pairs.join(best, ["block", "row", "place"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 

@@ -61,6 +61,19 @@ def test_hard_negatives_equal_all_products(spark, spread, monkeypatch):
     assert sorted(map(tuple, few)) == mined(rows, 3, 2, 1, (10, 60))
 
 
+@pytest.mark.parametrize("places", [1, 1 << 20])
+def test_blocks_meet_without_copies_for_each_meeting(spark, places, monkeypatch):
+    """No block goes to the driver or is repeated before it meets; however little a task may hold, results are equal."""
+    rows = vectors(random.Random(3), 120, 5, 0.5)
+    for name, size in (("ANCHORS", 4), ("ROWS", 6), ("HELD", 200), ("PLACES", places)):
+        monkeypatch.setattr(hard_negatives, name, size)
+    plans, real = [], hard_negatives._meetings
+    monkeypatch.setattr(hard_negatives, "_meetings", lambda grid, *a: plans.append(grid._jdf.queryExecution().executedPlan().toString()) or real(grid, *a))
+    got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 3 == 0).collect()
+    assert sorted(map(tuple, got)) == mined(rows, 3) and len(got) > 50
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Broadcast" not in p and "Generate" not in p for p in plans)
+
+
 def test_hard_negatives_of_tables_without_any(spark):
     for rows in ([], [(1, None, 1)], [(50, [1.0, 2.0], 1)], [(50, [1.0], 1), (51, [1.0], 1)], [(50, [1.0], 1), (51, [0.7], 0)], [(50, [-1.0], 1), (51, [1.0], 1), (52, [0.5], 0)]):
         assert hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 50 == 0).collect() == []
