@@ -112,3 +112,23 @@ def test_more_rows_go_to_more_tasks(spark, monkeypatch):
     assert staging.tasks_for(spark, rows) == -(-rows // 500) > 4
     assert found.rdd.getNumPartitions() == -(-rows // 500)
     assert sum(r.visits for r in found.collect()) <= rows
+
+
+def test_the_query_of_whole_plans_takes_all_rounds(spark, monkeypatch):
+    """What the query hands to plan() leaves its rounds as they are: nine of climbing, sixteen halvings of the fit."""
+    import inspect
+
+    from shapeloom.plans import plan_queries
+
+    real, asked = inspect.signature(plan_queries.plan.plan), []
+
+    def seen(*given, **named):
+        bound = real.bind(*given, **named)
+        bound.apply_defaults()
+        asked.append((bound.arguments["climb_rounds"], bound.arguments["fit_rounds"]))
+        return spark.range(0).selectExpr("string(id) as job", "*", *(f"id as {c}" for c in ("error", "rank", "total", *plan_queries.S.WEIGHTS, "km", "fitted", "clat", "clon", "size_m", "rot", "fidelity", "n_nodes")))
+
+    monkeypatch.setattr(plan_queries, "network", lambda *_: None)
+    monkeypatch.setattr(plan_queries.plan, "plan", seen)
+    plan_queries.g12_g13_g9_plan_best(spark, "/root/testdata/sf0.001")
+    assert asked == [(9, 16)]
