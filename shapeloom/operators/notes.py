@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeloom.operators import folds
-from shapeloom.operators.planner import along
+from shapeloom.operators.planner import along, along_nodes
 
 # Kinds of notes with their texts, in the order in which notes at one place stand; metres of an unlit
 # stretch and of a main road that count, and how near a crossing lies to a route; classes of main roads; signalled crossings.
@@ -16,9 +16,10 @@ DARK_METRES, MAIN_METRES, NEAR = 120.0, 200.0, 25.0
 MAIN_CLASSES, SIGNALLED, UNNAMED = ("primary", "secondary"), ("traffic_signals", "signals"), "此路段"
 
 
-def sources(w: DataFrame, crossings: DataFrame) -> DataFrame:
+def sources(w: DataFrame, crossings: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(key, km, src, ord, type, text) of all notes. w: (key, i, lat, lon, length, before_m, hw, lit, name), one row for
-    each vertex with the road to the next; crossings: (ord, lat, lon, name, kind). km has two decimals."""
+    each vertex with the road to the next; crossings: (ord, lat, lon, name, kind). km has two decimals.
+    With nodes (id, lat, lon), w has a column node instead of lat and lon."""
     km = lambda metres: F.bround(metres / 1000.0, 2)
     walked = w.where("length is not null")
     line = Window.partitionBy("key").orderBy("i")
@@ -26,7 +27,7 @@ def sources(w: DataFrame, crossings: DataFrame) -> DataFrame:
     runs = runs.groupBy("key", "run").agg(F.min("i").cast("long").alias("ord"), F.min("before_m").alias("from_m"), F.sum("length").alias("metres")).where(F.col("metres") >= DARK_METRES)
     dark = runs.select("key", km(F.col("from_m")).alias("km"), F.lit(0).alias("src"), "ord", F.lit(DARK).alias("type"), F.format_string(DARK_TEXT, F.bround("metres").cast("long")).alias("text"))
     open_ = crossings.where(~F.coalesce("kind", F.lit("")).isin(*SIGNALLED))
-    near = along(w, open_, NEAR).join(open_.select("ord", "name"), "ord")
+    near = (along(w, open_, NEAR) if nodes is None else along_nodes(w, nodes, open_, NEAR)).join(open_.select("ord", "name"), "ord")
     called = F.when(F.coalesce("name", F.lit("")) != "", F.concat(F.lit("（"), F.col("name"), F.lit("）"))).otherwise("")
     cross = near.select("key", km(F.col("at_m")).alias("km"), F.lit(1).alias("src"), "ord", F.lit(CROSSING).alias("type"), F.format_string(CROSSING_TEXT, called).alias("text"))
     large = walked.where(F.col("hw").isin(*MAIN_CLASSES) & (F.col("length") >= MAIN_METRES))

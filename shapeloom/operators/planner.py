@@ -111,9 +111,12 @@ def steps_over(found: DataFrame, nodes: DataFrame, roads: DataFrame) -> DataFram
     return with_roads(rows.join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node"), roads)
 
 
-def with_roads(rows: DataFrame, roads: DataFrame) -> DataFrame:
-    """Vertices (key, i, node, next, lat, lon) with the road to the next; the last one has none."""
-    road = roads.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")}).drop("a", "b")
+def with_roads(rows: DataFrame, roads: DataFrame, ordered: bool = False) -> DataFrame:
+    """Vertices (key, i, node, next, lat, lon) with the road to the next; the last one has none.
+
+    ordered: every road has a < b. Then roads that are grouped by both ends are not shuffled again.
+    """
+    road = roads.withColumnsRenamed({"a": "u", "b": "v"}) if ordered else roads.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")}).drop("a", "b")
     pair = rows.withColumns({"u": F.least("node", F.coalesce("next", F.lit(-1))), "v": F.greatest("node", "next")})
     return pair.join(road, ["u", "v"], "left")
 
@@ -255,3 +258,16 @@ def along(points: DataFrame, poi: DataFrame, metres: float) -> DataFrame:
     near = within(points, poi.select("ord", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")), metres, spread="right")
     best = near.groupBy("key", "ord").agg(F.min(F.struct("d", "i", "before_m")).alias("m"))
     return best.select("key", "ord", "m.d", F.col("m.before_m").alias("at_m"))
+
+
+def along_nodes(steps: DataFrame, nodes: DataFrame, poi: DataFrame, metres: float) -> DataFrame:
+    """What along() gives, of steps (key, i, node, before_m) that know their nodes (id, lat, lon) and no places.
+
+    Places meet the nodes, which are far fewer than the steps of all routes; only steps at these nodes go on.
+    """
+    places = poi.select("ord", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    near = written(within(nodes.select(F.col("id").alias("node"), "lat", "lon"), places, metres, spread="right").select("node", "ord", "d"), "near")
+    # a table of its own, so that its size is known: a few nodes are looked up where the steps lie
+    met = steps.join(written(near.select("node").distinct(), "met"), "node", "left_semi").join(near, "node")
+    best = met.groupBy("key", "ord").agg(F.min(F.struct("d", "i", "before_m")).alias("m"))
+    return best.select("key", "ord", "m.d", F.col("m.before_m").alias("at_m"))

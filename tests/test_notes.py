@@ -72,3 +72,35 @@ def test_a_view_misses_no_band_of_cells(spark):
     shown = spark.createDataFrame([(k, y, 10.0, 1.0, 8000.0) for k, y in enumerate(middles)], "key long, lat0 double, lon0 double, scale double, half double")
     got = {(r.key, r.a) for r in viewport.roads_in_view(shown, roads).select("key", "a").collect()}
     assert got == {(k, a) for k, y in enumerate(middles) for a, x in enumerate(at) if abs(math.radians(x - y)) * 6371008.8 <= 8000}
+
+
+def test_steps_go_on_without_places(spark, monkeypatch):
+    """Steps that know their nodes find the same crossings as steps with places, and no place of a step is written."""
+    import random
+
+    from shapeloom.operators import planner
+    from shapeloom.plans import element_queries
+
+    rng = random.Random(6)
+    nodes = spark.createDataFrame([(k, 24 + rng.random() * 2e-3, 120.0) for k in range(40)] + [(40, 24.0, 120.0), (41, 24.0, 120.0)], "id long, lat double, lon double")
+    steps = spark.createDataFrame([(r, i, rng.choice([40, 41, *range(40)]), 10.0 * i) for r in range(5) for i in range(60)], "key long, i int, node long, before_m double")
+    poi = spark.createDataFrame([(k, 24 + rng.random() * 2e-3, 120.0) for k in range(12)] + [(12, 24.0, 120.0), (13, 50.0, 0.0)], "ord long, lat double, lon double")
+    want = planner.along(steps.join(nodes.withColumnRenamed("id", "node"), "node"), poi, 25.0)
+    got = planner.along_nodes(steps, nodes, poi, 25.0)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    columns, real = {}, element_queries.written
+    monkeypatch.setattr(element_queries, "written", lambda df, label: columns.setdefault(label, df.columns) and real(df, label))
+    element_queries.u2_w7_p11_p12_j5_safety_note_sources(spark, "/root/testdata/sf0.001")
+    assert set(columns["walked"]) == {"key", "i", "node", "length", "before_m", "hw", "lit", "name"}
+
+
+def test_ordered_roads_are_not_shuffled_again(spark):
+    from shapeloom.operators import planner
+
+    rows = spark.range(9).selectExpr("1L as key", "int(id) as i", "id as node", "if(id < 8, id + 1, null) as next", "24d as lat", "120d as lon").hint("merge")
+    roads = spark.range(8).repartition(3).selectExpr("id as a", "id + 1 as b", "1d as l").groupBy("a", "b").agg(F.min("l").alias("length"))
+    met = [planner.with_roads(rows, roads, ordered) for ordered in (False, True)]
+    shuffles = [m._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for m in met]
+    assert shuffles[1] == shuffles[0] - 1
+    columns = sorted(met[0].columns)
+    assert sorted(met[0].select(columns).collect()) == sorted(met[1].select(columns).collect())
